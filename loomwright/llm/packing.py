@@ -11,6 +11,8 @@ length; ranks are counted in salted blocks, so a length that a third of all piec
 from __future__ import annotations
 
 import os
+import sys
+import types
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -27,23 +29,37 @@ END_ID = 1
 #: Pieces of one length that are ranked together.
 BLOCK_ROWS = 1024
 #: Words that a tokenising task remembers, and the longest of them in bytes.
-CACHE_WORDS, CACHE_WORD_BYTES = 300_000, 64
+CACHE_WORDS, CACHE_WORD_BYTES = 500_000, 64
 
 
 class WordTokens(dict):
     """Ids of white-space separated words, as little-endian unsigned 32-bit bytes.
 
     The tokenizer drops white space and never merges across it, so a text's ids are those of its words in turn.
+    It also lower-cases, so words are looked up in lower case, and a full stop or comma that ends a word after an
+    ASCII letter is a token of its own, so such a word is looked up without it.
     """
 
+    SEPARATOR = "7"
+
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.separator = self._encode(self.SEPARATOR)
+        assert len(self.separator) == 4, "the separator has to be a token of its own"
+        self.stops = {s: self._encode(s.decode()) for s in (b".", b",")}
+
+    def _encode(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
-        value = np.asarray(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        end = word[-1:]
+        if end in self.stops and word[-2:-1].isalpha():
+            value = self[word[:-1]] + self.stops[end]
+        else:
+            value = self._encode(word.decode("utf-8", "replace"))
         if len(word) <= CACHE_WORD_BYTES:
             if len(self) >= CACHE_WORDS:
                 self.clear()
@@ -51,16 +67,36 @@ class WordTokens(dict):
         return value
 
     def learn(self, words: set[bytes]) -> None:
-        """Encode many unknown words in one call."""
-        new = [w for w in words if w not in self and len(w) <= CACHE_WORD_BYTES]
+        """Encode many unknown words in one call, with a separator between them."""
+        new = {w[:-1] if w[-1:] in self.stops and w[-2:-1].isalpha() else w for w in words.difference(self)}
+        odd = (self.SEPARATOR.encode(), b"<|")
+        new = [w for w in new.difference(self) if len(w) <= CACHE_WORD_BYTES and odd[0] not in w and odd[1] not in w]
         if len(self) + len(new) > CACHE_WORDS:
             self.clear()
-            new = new[:CACHE_WORDS]
-        for word, got in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-            self[word] = np.asarray(got.ids, "<u4").tobytes()
+        for at in range(0, min(len(new), CACHE_WORDS), 5000):
+            some = new[at : at + 5000]
+            got = np.asarray(self.tokenizer.encode_batch_fast([f" {self.SEPARATOR} ".join(w.decode("utf-8", "replace") for w in some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = [*(4 * np.nonzero(got == np.frombuffer(self.separator, "<u4")[0])[0]).tolist(), 4 * len(got)]
+            flat, start = got.tobytes(), 0
+            for word, end in zip(some, ends, strict=True):
+                self[word] = flat[start:end]
+                start = end + 4
+
+    def ids(self, words: list[bytes]) -> bytes:
+        return b"".join(map(self.__getitem__, words))
+
+    @staticmethod
+    def words(text: bytes) -> list[bytes]:
+        """Lower-cased, unless it may spell a special token, whose case counts."""
+        return (text if b"<|" in text else text.lower()).split()
+
 
-    def ids(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+def _word_tokens(path: str) -> WordTokens:
+    """One for each worker process, kept from task to task; its size is bounded."""
+    kept = sys.modules.setdefault("_loomwright_tokens", types.ModuleType("_loomwright_tokens")).__dict__
+    if path not in kept:
+        kept[path] = WordTokens(path)
+    return kept[path]
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
@@ -74,15 +110,15 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
     schema = pa.schema(fields)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokens(tokenizer_path)
+        words = _word_tokens(tokenizer_path)
         end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             for part in pieces(batch, "text"):
                 rows: list[tuple] = []
-                split = texts(part, "text")
-                words.learn(set().union(*[t.split() for t in split]))
-                for doc, text in zip(part.column("doc_id").to_pylist(), split, strict=True):
-                    ids = words.ids(text) + end
+                split = [words.words(t) for t in texts(part, "text")]
+                words.learn(set().union(*split))
+                for doc, own_words in zip(part.column("doc_id").to_pylist(), split, strict=True):
+                    ids = words.ids(own_words) + end
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[at : at + 4 * capacity]
                         rows.append((doc, k, at // 4, len(own) // 4, zlib.crc32(own), own)[: len(fields)])
