@@ -28,8 +28,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces of one length that are ranked together.
 BLOCK_ROWS = 1024
-#: Words that a tokenising task remembers, and the longest of them in bytes.
-CACHE_WORDS, CACHE_WORD_BYTES = 500_000, 64
+#: Words that a generation of a worker's memory holds, and the longest of them in bytes.
+CACHE_WORDS, CACHE_WORD_BYTES = 400_000, 64
 
 
 class WordTokens(dict):
@@ -50,29 +50,40 @@ class WordTokens(dict):
         self.separator = self._encode(self.SEPARATOR)
         assert len(self.separator) == 4, "the separator has to be a token of its own"
         self.stops = {s: self._encode(s.decode()) for s in (b".", b",")}
+        self.older: dict[bytes, bytes] = {}
 
     def _encode(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
         end = word[-1:]
-        if end in self.stops and word[-2:-1].isalpha():
+        if (value := self.older.get(word)) is not None:
+            pass
+        elif end in self.stops and word[-2:-1].isalpha():
             value = self[word[:-1]] + self.stops[end]
         else:
             value = self._encode(word.decode("utf-8", "replace"))
         if len(word) <= CACHE_WORD_BYTES:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
+            self._make_room(1)
             self[word] = value
         return value
 
+    def _make_room(self, n: int) -> None:
+        """Two generations: words that are still in use are taken over from the older one."""
+        if len(self) + n > CACHE_WORDS:
+            self.older = dict(self)
+            self.clear()
+
     def learn(self, words: set[bytes]) -> None:
         """Encode many unknown words in one call, with a separator between them."""
-        new = {w[:-1] if w[-1:] in self.stops and w[-2:-1].isalpha() else w for w in words.difference(self)}
+        new = words.difference(self)
+        self._make_room(len(new))
+        if known := new.intersection(self.older):
+            self.update(zip(known, map(self.older.__getitem__, known), strict=True))
+            new -= known
+        new = {w[:-1] if w[-1:] in self.stops and w[-2:-1].isalpha() else w for w in new}
         odd = (self.SEPARATOR.encode(), b"<|")
-        new = [w for w in new.difference(self) if len(w) <= CACHE_WORD_BYTES and odd[0] not in w and odd[1] not in w]
-        if len(self) + len(new) > CACHE_WORDS:
-            self.clear()
+        new = [w for w in new if w not in self and len(w) <= CACHE_WORD_BYTES and odd[0] not in w and odd[1] not in w]
         for at in range(0, min(len(new), CACHE_WORDS), 5000):
             some = new[at : at + 5000]
             got = np.asarray(self.tokenizer.encode_batch_fast([f" {self.SEPARATOR} ".join(w.decode("utf-8", "replace") for w in some)], add_special_tokens=False)[0].ids, "<u4")
@@ -113,7 +124,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
         words = _word_tokens(tokenizer_path)
         end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", 3 * CHUNK_BYTES):
                 rows: list[tuple] = []
                 split = [words.words(t) for t in texts(part, "text")]
                 words.learn(set().union(*split))
