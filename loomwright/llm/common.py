@@ -50,7 +50,7 @@ def columns_of(df: DataFrame, *names: str) -> DataFrame:
 class WordHashes(dict):
     """bytes -> 64-bit hash, remembered up to ``most`` words."""
 
-    most = 400_000
+    most = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:

@@ -5,9 +5,9 @@
 2. A second pass orders each set rarest first (sketch count, then hash: one total order for all documents) and
    emits its prefix. Copies within a task emit once, so a group of copies never floods a key.
 3. Documents that share a prefix n-gram are candidates if the length filter and the positional filter let them
-   pass. Within a key, documents are first compared with the key's smallest id; what that leaves in different
-   components is compared with the key's largest id, and then exhaustively. Links inside a component are never
-   expanded, and no partner is capped.
+   pass. Within a key, documents are first compared with a few pivots, then those that are still in different
+   components with more pivots, and what that leaves in different components exhaustively. Links inside a
+   component are never expanded, and no partner is capped.
 4. Candidates are verified once a pair on their whole texts, after the suffix filter.
 """
 
@@ -25,6 +25,8 @@ from loomwright.llm.common import WordHashes, columns_of, connected_components,
 WORDS, PERCENT = 5, 75
 #: The sketch has 2 ** SKETCH_BITS counters, which are kept in blocks.
 SKETCH_BITS, BLOCK = 20, 1 << 14
+#: Rounds of comparisons within a key: with pivots picked by these hash seeds, and at last of all with all.
+PIVOTS = (range(4), range(4, 20), None)
 
 
 def shingle_set(words: list[bytes], hashes: WordHashes, n: int = WORDS) -> np.ndarray:
@@ -110,10 +112,13 @@ def _prefixes(docs: DataFrame, frequency, n: int, percent: int) -> DataFrame:
 
 
 def _may_link(percent: int) -> F.Column:
-    """Length filter, and positional filter at a common prefix n-gram, of two rows x and y."""
+    """Length filter, and positional filter at a common prefix n-gram, of two rows x and y.
+
+    A pair that links passes at its first common n-gram, as all that the two share comes from there on.
+    """
     n, m, i, j = (F.col(c).cast("long") for c in ("x.n", "y.n", "x.pos", "y.pos"))
     least = F.expr(f"cast(ceil({percent} * (x.n + y.n) / {100 + percent}) as bigint)")
-    reach = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1)
+    reach = F.least(n - i, m - j)
     return (percent * F.greatest(n, m) <= 100 * F.least(n, m)) & (reach >= least)
 
 
@@ -169,27 +174,25 @@ def jaccard_links(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> tu
     rows = shared.join(members.select("doc_id", "rep").distinct(), "doc_id").groupBy("g", F.col("rep").alias("doc_id")).agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
     rows = materialize(_several(rows.withColumn("c", F.col("doc_id"))), "rows")
     release(shared)
-    wanted = rows.select("doc_id").distinct()
-    own = materialize(docs.join(wanted, "doc_id"), "texts")
+    x, y = rows.alias("x"), rows.alias("y")
+    rows = materialize(x.join(y, F.expr("x.g = y.g and x.doc_id <> y.doc_id") & _may_link(percent), "left_semi"), "rows")
+    own = materialize(docs.join(rows.select("doc_id").distinct(), "doc_id"), "texts")
 
     tested, links = None, None
-    for step in ("least", "greatest", "every"):
-        if step == "every":
-            x, y = rows.alias("x"), rows.alias("y")
-            pairs = x.join(y, F.expr("x.g = y.g and x.doc_id < y.doc_id and x.c <> y.c") & _may_link(percent))
-            pairs = pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-        else:
-            pick = F.min if step == "least" else F.max
-            pivot = rows.groupBy("g").agg(pick(F.struct("doc_id", "n", "pos", "c")).alias("p")).select("g", "p.*")
-            x, y = pivot.alias("x"), rows.alias("y")
+    for pivots in PIVOTS:
+        x, y = rows.alias("x"), rows.alias("y")
+        if pivots:
+            order = F.array([F.min(F.struct(F.xxhash64("doc_id", F.lit(i)), *rows.columns)) for i in pivots])
+            x = rows.groupBy("g").agg(order.alias("p")).select(F.explode("p").alias("p")).select("p.*").distinct().alias("x")
             pairs = y.join(x, F.expr("x.g = y.g and x.c <> y.c") & _may_link(percent))
-            pairs = pairs.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
-        pairs = pairs.distinct()
+        else:
+            pairs = x.join(y, F.expr("x.g = y.g and x.doc_id < y.doc_id and x.c <> y.c") & _may_link(percent))
+        pairs = pairs.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
         pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         found = materialize(verify(pairs, own, n, percent), "links")
         tested = pairs if tested is None else tested.union(pairs)
         links = found if links is None else links.union(found)
-        if step != "every":
+        if pivots:
             parts = connected_components(links)
             rows = rows.drop("c").join(parts.select(F.col("id").alias("doc_id"), F.col("component").alias("c")), "doc_id", "left")
             rows = materialize(_several(rows.withColumn("c", F.coalesce("c", "doc_id"))), "rows")

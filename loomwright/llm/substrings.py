@@ -28,7 +28,7 @@ from loomwright.llm.common import WordHashes, columns_of, grams, hashed_words, m
 
 WINDOW, ANCHOR = 50, 10
 #: Regions of one anchor that one automaton holds, and regions of all anchors that one shard holds on average.
-SHARD_REGIONS, GROUP_REGIONS = 512, 2048
+SHARD_REGIONS, GROUP_REGIONS = 512, 512
 
 _BASE = np.uint64(0x9FB21C651E98DF25)
 _UNBASE = np.uint64(pow(0x9FB21C651E98DF25, -1, 1 << 64))
