@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm import jaccard, language, packing, substrings
+from loomwright.llm import jaccard, language, packing, private, substrings
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,13 @@ def _tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans, base = F.col("spans"), F.filter("spans", lambda s: s["kind"] != private.TERM)
+    number = [F.size(F.filter(F.transform(spans, lambda s: s["kind"]), lambda x: x == F.lit(kind))).cast("long").alias(f"n_{kind}") for kind in private.KINDS]  # noqa: B023
+    hashed = F.sha2(private.span_text(base), 256).alias("base_sha256")
+    return private.find_private(_documents(spark, sf_dir)).select("doc_id", *number, hashed, private.span_text(spans).alias("spans"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), _tokenizer())
 
@@ -40,6 +47,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii_disclosure": op1_pii_disclosure,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_substring_dedup": op3_substring_dedup,
     "op6_language_id": op6_language_id,
