@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm import jaccard, language, packing, private, substrings
+from loomwright.llm import jaccard, language, near_vectors, nearest, packing, private, substrings
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,12 +36,20 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.exact_top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text", "lang").withColumn("held_out", language.held_out())
     filters = language.learn_filters(docs.where("not held_out"))
     return language.identify(docs.drop("lang"), filters).select("doc_id", "held_out", "lang_pred", "score", "coverage")
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_duplicate_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicate_components(_documents(spark, sf_dir))
 
@@ -50,7 +58,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_disclosure": op1_pii_disclosure,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_exact_top_k": op4_exact_top_k,
     "op6_language_id": op6_language_id,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
