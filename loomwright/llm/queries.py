@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import importlib.util
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm import jaccard, language, lines, near_vectors, nearest, packing, private, substrings
+from loomwright.llm import chat, jaccard, language, lines, mixing, near_vectors, nearest, packing, private, substrings
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,12 +41,20 @@ def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.exact_top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text", "lang").withColumn("held_out", language.held_out())
     filters = language.learn_filters(docs.where("not held_out"))
     return language.identify(docs.drop("lang"), filters).select("doc_id", "held_out", "lang_pred", "score", "coverage")
 
 
+def op7_mixing_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixing_rates(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("text_hash")
+
+
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_duplicate_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -58,15 +67,26 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicate_components(_documents(spark, sf_dir))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_disclosure": op1_pii_disclosure,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_exact_top_k": op4_exact_top_k,
+    "op5_chat_formatting": op5_chat_formatting,
     "op6_language_id": op6_language_id,
+    "op7_mixing_rates": op7_mixing_rates,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+if importlib.util.find_spec("corpus_pipeline"):
+    QUERIES["pipeline"] = pipeline
+
+ORACLE_SQL: dict[str, str] = {"op5_chat_formatting": chat.FORMAT_SQL}
