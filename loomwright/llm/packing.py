@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import columns_of, materialize, pieces, texts
+from loomwright.llm.common import CHUNK_BYTES, columns_of, materialize, pieces, texts
 
 CAPACITY = 4096
 END_ID = 1
@@ -124,7 +124,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
         words = _word_tokens(tokenizer_path)
         end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
-            for part in pieces(batch, "text", 3 * CHUNK_BYTES):
+            for part in pieces(batch, "text", 2 * CHUNK_BYTES):
                 rows: list[tuple] = []
                 split = [words.words(t) for t in texts(part, "text")]
                 words.learn(set().union(*split))
