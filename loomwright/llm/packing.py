@@ -29,7 +29,7 @@ END_ID = 1
 #: Pieces of one length that are ranked together.
 BLOCK_ROWS = 1024
 #: Words that a generation of a worker's memory holds, and the longest of them in bytes.
-CACHE_WORDS, CACHE_WORD_BYTES = 400_000, 64
+CACHE_WORDS, CACHE_WORD_BYTES = 600_000, 64
 
 
 class WordTokens(dict):
