@@ -46,7 +46,11 @@ def _pieces(text: Column, pattern: str) -> Column:
     """(match, text before it, text after it) for every match, in order."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    cut = F.transform(found, lambda m, i: F.struct(m.alias("value"), F.length(F.get(between, i)).cast("long").alias("gap"), F.right(F.get(between, i), F.lit(CONTEXT)).alias("left"), F.left(F.get(between, i + 1), F.lit(CONTEXT)).alias("right")))
+    after = F.slice(between, F.lit(2), F.size(between))
+    # The arrays are made once a row; named inside the lambda they would be made again for every match.
+    both = F.arrays_zip(found.alias("m"), between.alias("b"), after.alias("a"))
+    piece = lambda x: F.struct(x["m"].alias("value"), F.length(x["b"]).cast("long").alias("gap"), F.right(x["b"], F.lit(CONTEXT)).alias("left"), F.left(x["a"], F.lit(CONTEXT)).alias("right"))
+    cut = F.transform(F.filter(both, lambda x: x["m"].isNotNull()), piece)
     return F.when(text.rlike(pattern), cut)
 
 
