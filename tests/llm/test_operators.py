@@ -223,7 +223,7 @@ def test_chat(spark):
 
 
 def test_mixing_meets_targets(spark):
-    rows = [(i, ("fine prose here " if i % 4 else "vile slur words ") * 5, None, "x", 0) for i in range(80)] + [(100, None, None, "x", 0), (None, "odd", None, "x", 0)]
+    rows = [(i, ("vile slur words ", "fine prose here ", "odd junk bits ", "fine prose here ")[i % 4] * 5, None, "x", 0) for i in range(80)] + [(100, None, None, "x", 0), (None, "odd", None, "x", 0)]
     labels = spark.createDataFrame([(i, i % 2, int(i % 4 == 0)) for i in range(60)], "doc_id long, quality int, toxic int")
     rated = mixing.mixing_rates(docs(spark, rows), labels, {"good": 0.5, "plain": 0.4, "toxic": 0.1}).collect()
     assert len(rated) == len(rows)
