@@ -21,6 +21,8 @@ from loomwright.llm.common import materialize, mix, pieces, texts
 
 #: Lines with fewer characters are left alone.
 LEAST_CHARACTERS = 16
+#: Stands for a missing doc_id.
+NO_ID = -(1 << 63)
 
 _BASE = np.uint64(0x9FB21C651E98DF25)
 _UNBASE = np.uint64(pow(0x9FB21C651E98DF25, -1, 1 << 64))
@@ -46,8 +48,12 @@ def deletion_neighbourhood(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _kept_lines(keyed: DataFrame, least: int) -> DataFrame:
-    """d, k, n of the lines of ``least`` characters or more that stay."""
-    lines = keyed.where("d is not null").select("d", "k", F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
+    """d, k, n of the lines of ``least`` characters or more that stay.
+
+    All that follows the search for candidates is one plan with the caller's join, and takes every column of
+    ``keyed`` as that does, so that texts are shuffled once and both joins read them.
+    """
+    lines = keyed.where(F.col("_line_d") > NO_ID).select(F.col("_line_d").alias("d"), F.col("_line_k").alias("k"), F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
     size = F.length("line")
     long_ = lines.where(size >= least)
     half = lambda n: (n / 2).cast("int")
@@ -61,19 +67,19 @@ def _kept_lines(keyed: DataFrame, least: int) -> DataFrame:
     shared = distinct.select("d", "k", "n", F.explode("halves").alias("half")).withColumn("lines", F.count("*").over(Window.partitionBy("half")))
     some = materialize(shared.where("lines > 1").select("d", "k", "n").distinct(), "candidates")
 
-    asked = some.groupBy("d", "k").agg(F.collect_list("n").alias("asked"))
+    asked = some.groupBy(F.col("d").alias("_line_d"), F.col("k").alias("_line_k")).agg(F.collect_list("n").alias("_line_asked"))
     schema = pa.schema([("d", pa.int64()), ("k", pa.int64()), ("n", pa.int32()), ("line", pa.string())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
                 rows = []
-                for d, k, text, asked_ in zip(part.column("d").to_pylist(), part.column("k").to_pylist(), texts(part, "text"), part.column("asked").to_pylist(), strict=True):
+                for d, k, text, asked_ in zip(part.column("_line_d").to_pylist(), part.column("_line_k").to_pylist(), texts(part, "text"), part.column("_line_asked").to_pylist(), strict=True):
                     own = text.split(b"\n")
                     rows += [(d, k, n, own[n].decode()) for n in set(asked_)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    own = materialize(keyed.join(asked, ["d", "k"]).select("d", "k", "text", "asked").mapInArrow(cut, "d long, k long, n int, line string"), "texts")
+    own = keyed.join(asked, ["_line_d", "_line_k"]).mapInArrow(cut, "d long, k long, n int, line string")
 
     def vary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,11 +121,11 @@ def drop_repeated_lines(docs: DataFrame, least: int = LEAST_CHARACTERS) -> DataF
     """
     names = docs.columns
     place = names.index("text")
-    keys = {"_line_d": F.col("`doc_id`"), "_line_k": F.crc32(F.coalesce(F.col("`text`"), F.lit("")).cast("binary"))}
+    keys = {"_line_d": F.coalesce(F.col("`doc_id`"), F.lit(NO_ID)), "_line_k": F.crc32(F.coalesce(F.col("`text`"), F.lit("")).cast("binary"))}
     keyed = docs.select("*", *[c.alias(n) for n, c in keys.items()])
-    kept = _kept_lines(docs.select(keys["_line_d"].alias("d"), keys["_line_k"].alias("k"), F.col("`text`").alias("text")), least)
+    kept = _kept_lines(keyed, least)
     stay = kept.groupBy(F.col("d").alias("_line_d"), F.col("k").alias("_line_k")).agg(F.collect_set("n").alias("_line_stay"))
-    joined = keyed.join(stay, ["_line_d", "_line_k"], "left").select(*[F.col(f"`{c}`") for c in names], F.col("_line_d").isNotNull().alias("_line_known"), "_line_stay")
+    joined = keyed.join(stay, ["_line_d", "_line_k"], "left").select(*[F.col(f"`{c}`") for c in names], (F.col("_line_d") > NO_ID).alias("_line_known"), "_line_stay")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
