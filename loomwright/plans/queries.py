@@ -362,9 +362,9 @@ def prompt_records(t: Tables) -> DataFrame:
     return t.conversations.groupBy("conv_id").agg(F.count("*").alias("turns"), F.array_join(turns["role"], ",").alias("roles"), F.sum(F.length("text")).alias("chars"))
 
 
-@query("SELECT event_id, ts, epoch_ms(ts) AS millis, strftime(ts, '%y%m') AS yymm FROM events")
+@query("SELECT event_id, ts, epoch_us(ts) AS micros, strftime(ts, '%y%m') AS yymm FROM events")
 def dates(t: Tables) -> DataFrame:
-    return t.events.select("event_id", "ts", F.unix_millis(c("ts").cast("timestamp")).alias("millis"), F.date_format("ts", "yyMM").alias("yymm"))
+    return t.events.select("event_id", "ts", F.unix_micros(c("ts").cast("timestamp")).alias("micros"), F.date_format("ts", "yyMM").alias("yymm"))
 
 
 @query("SELECT doc_id, CAST(length(text) // 2 AS BIGINT) AS token_proxy, length(text) // 2 < 8192 AS fits, trim(coalesce(text, '')) <> '' AS has_text FROM documents")
