@@ -23,6 +23,8 @@ SAMPLE_DOCUMENTS = 2000
 KEPT_GRAMS, LEAST_SHARE = 8000, 0.1
 ORDERS, CELLS, PROBES = (2, 3, 4), 1 << 18, 3
 UNKNOWN = "und"
+#: Bytes of text that n-grams are made of at once: they take about 200 times the memory.
+GRAM_BYTES = 256 << 10
 #: A document is rejected where its language knows less of its n-grams than this.
 LEAST_COVERAGE = 0.2
 
@@ -97,7 +99,7 @@ def learn_filters(labelled: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> Langua
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = _letters()
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", GRAM_BYTES):
                 by: dict[str, list[str]] = {}
                 for lang, text in zip(part.column("lang").to_pylist(), texts(part, "text"), strict=True):
                     by.setdefault(lang, []).append(text.decode())
@@ -135,7 +137,7 @@ def identify(docs: DataFrame, filters: LanguageFilters) -> DataFrame:
         languages, cells, false = model.value
         own, letters = LanguageFilters(languages, cells), _letters()
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", GRAM_BYTES):
                 hashes, owners, n_letters = gram_hashes([t.decode() for t in texts(part, "text")], letters)
                 total = np.maximum(1, np.bincount(owners, minlength=part.num_rows))[:, None]
                 rates = np.zeros((part.num_rows, max(1, len(languages))))
