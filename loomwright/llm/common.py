@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
+import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +51,26 @@ def columns_of(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def worker_memory(name: str | None = None, make: Callable[[], Any] = lambda: None) -> Any:
+    """What ``make`` gives, kept under ``name`` by a worker process from task to task.
+
+    Worker processes outlive stages, so every Arrow function calls this when it starts: what is kept under other
+    names goes, and memory that earlier tasks have freed goes back to the system.
+    """
+    module = sys.modules.setdefault("_loomwright_memory", types.ModuleType("_loomwright_memory"))
+    kept = module.__dict__.setdefault("kept", {})
+    for other in [k for k in kept if k != name]:
+        del kept[other]
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
+    if name is None:
+        return make()
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
+
+
 class WordHashes(dict):
     """bytes -> 64-bit hash, remembered up to ``most`` words."""
 

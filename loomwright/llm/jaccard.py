@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import WordHashes, columns_of, connected_components, grams, hashed_words, materialize, mix, pieces, release, texts
+from loomwright.llm.common import WordHashes, columns_of, connected_components, grams, hashed_words, materialize, mix, pieces, release, texts, worker_memory
 
 WORDS, PERCENT = 5, 75
 #: The sketch has 2 ** SKETCH_BITS counters, which are kept in blocks.
@@ -51,6 +51,7 @@ def _statistics(docs: DataFrame, n: int) -> DataFrame:
     schema = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("counts", pa.binary())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory()
         hashes, sketch = WordHashes(), np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
             for part in pieces(batch, "text"):
@@ -91,6 +92,7 @@ def _prefixes(docs: DataFrame, frequency, n: int, percent: int) -> DataFrame:
     schema = pa.schema([("g", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory()
         hashes, seen = WordHashes(), set()
         for batch in batches:
             for part in pieces(batch, "text"):
@@ -126,6 +128,7 @@ def verify(pairs: DataFrame, texts_: DataFrame, n: int = WORDS, percent: int = P
     """Those of ``pairs(a, b)`` whose whole texts reach the threshold, by the suffix filter and an exact count."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory()
         hashes, last = WordHashes(), (None, None)
         for batch in batches:
             for part in pieces(batch, "tb"):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import columns_of, mix, pieces, texts
+from loomwright.llm.common import columns_of, mix, pieces, texts, worker_memory
 
 #: About so many labelled documents of a language are learned from, picked by a hash of their ids.
 SAMPLE_DOCUMENTS = 2000
@@ -97,7 +97,7 @@ def learn_filters(labelled: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> Langua
     chosen = labelled.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) * F.col("n") < sample * 1_000_000)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters = _letters()
+        letters = worker_memory("letters", _letters)
         for batch in batches:
             for part in pieces(batch, "text", GRAM_BYTES):
                 by: dict[str, list[str]] = {}
@@ -135,7 +135,7 @@ def identify(docs: DataFrame, filters: LanguageFilters) -> DataFrame:
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, cells, false = model.value
-        own, letters = LanguageFilters(languages, cells), _letters()
+        own, letters = LanguageFilters(languages, cells), worker_memory("letters", _letters)
         for batch in batches:
             for part in pieces(batch, "text", GRAM_BYTES):
                 hashes, owners, n_letters = gram_hashes([t.decode() for t in texts(part, "text")], letters)

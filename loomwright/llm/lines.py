@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import materialize, mix, pieces, texts
+from loomwright.llm.common import materialize, mix, pieces, texts, worker_memory
 
 #: Lines with fewer characters are left alone.
 LEAST_CHARACTERS = 16
@@ -71,6 +71,7 @@ def _kept_lines(keyed: DataFrame, least: int) -> DataFrame:
     schema = pa.schema([("d", pa.int64()), ("k", pa.int64()), ("n", pa.int32()), ("line", pa.string())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory()
         for batch in batches:
             for part in pieces(batch, "text"):
                 rows = []
@@ -82,6 +83,7 @@ def _kept_lines(keyed: DataFrame, least: int) -> DataFrame:
     own = keyed.join(asked, ["_line_d", "_line_k"]).mapInArrow(cut, "d long, k long, n int, line string")
 
     def vary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory()
         for batch in batches:
             for part in pieces(batch, "line", 1 << 19):
                 key, place, line = deletion_neighbourhood(part.column("line").to_pylist())
@@ -128,6 +130,7 @@ def drop_repeated_lines(docs: DataFrame, least: int = LEAST_CHARACTERS) -> DataF
     joined = keyed.join(stay, ["_line_d", "_line_k"], "left").select(*[F.col(f"`{c}`") for c in names], (F.col("_line_d") > NO_ID).alias("_line_known"), "_line_stay")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory()
         for batch in batches:
             for part in pieces(batch, "text"):
                 new, rows = [], []

@@ -11,8 +11,6 @@ length; ranks are counted in salted blocks, so a length that a third of all piec
 from __future__ import annotations
 
 import os
-import sys
-import types
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -22,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import CHUNK_BYTES, columns_of, materialize, pieces, texts
+from loomwright.llm.common import CHUNK_BYTES, columns_of, materialize, pieces, texts, worker_memory
 
 CAPACITY = 4096
 END_ID = 1
@@ -102,14 +100,6 @@ class WordTokens(dict):
         return (text if b"<|" in text else text.lower()).split()
 
 
-def _word_tokens(path: str) -> WordTokens:
-    """One for each worker process, kept from task to task; its size is bounded."""
-    kept = sys.modules.setdefault("_loomwright_tokens", types.ModuleType("_loomwright_tokens")).__dict__
-    if path not in kept:
-        kept[path] = WordTokens(path)
-    return kept[path]
-
-
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids): every document's ids and the end id, cut at ``capacity``.
 
@@ -121,7 +111,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
     schema = pa.schema(fields)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _word_tokens(tokenizer_path)
+        words = worker_memory(f"tokens {tokenizer_path}", lambda: WordTokens(tokenizer_path))  # its size is bounded
         end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             for part in pieces(batch, "text", 2 * CHUNK_BYTES):
@@ -275,6 +265,7 @@ def pack(pieces_: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     names = pieces_.columns
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory()
         t = places.value
         for batch in batches:
             length, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "_rank"))

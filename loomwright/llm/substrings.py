@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import WordHashes, columns_of, grams, hashed_words, materialize, pieces, texts
+from loomwright.llm.common import WordHashes, columns_of, grams, hashed_words, materialize, pieces, texts, worker_memory
 
 WINDOW, ANCHOR = 50, 10
 #: Regions of one anchor that one automaton holds, and regions of all anchors that one shard holds on average.
@@ -81,6 +81,7 @@ def _regions(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     schema = pa.schema([("h", pa.int64()), ("r", pa.int64()), ("n", pa.int32()), ("d", pa.int64()), ("k", pa.int64()), ("at", pa.int32())])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory()
         hashes = WordHashes()
         for batch in batches:
             for part in pieces(batch, "text"):
@@ -176,6 +177,7 @@ def earlier_windows(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     schema = pa.schema([("h", pa.int64()), ("r", pa.int64()), ("n", pa.int32()), ("parts", pa.int32()), ("d", pa.int64()), ("words", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory()
         for batch in batches:
             for part in pieces(batch, "text"):
                 rows = []
@@ -233,6 +235,7 @@ def remove_repeated_passages(docs: DataFrame, window: int = WINDOW, anchor: int
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory()
         for batch in batches:
             for part in pieces(batch, "text"):
                 rows = []
