@@ -27,7 +27,7 @@ END_ID = 1
 #: Pieces of one length that are ranked together.
 BLOCK_ROWS = 1024
 #: Words that a generation of a worker's memory holds, and the longest of them in bytes.
-CACHE_WORDS, CACHE_WORD_BYTES = 600_000, 64
+CACHE_WORDS, CACHE_WORD_BYTES = 300_000, 64
 
 
 class WordTokens(dict):
@@ -116,10 +116,10 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
         for batch in batches:
             for part in pieces(batch, "text", 2 * CHUNK_BYTES):
                 rows: list[tuple] = []
-                split = [words.words(t) for t in texts(part, "text")]
-                words.learn(set().union(*split))
-                for doc, own_words in zip(part.column("doc_id").to_pylist(), split, strict=True):
-                    ids = words.ids(own_words) + end
+                own_texts = texts(part, "text")
+                words.learn(set().union(*map(words.words, own_texts)))
+                for doc, text in zip(part.column("doc_id").to_pylist(), own_texts, strict=True):
+                    ids = words.ids(words.words(text)) + end  # split again: the words of all texts take ten times their bytes
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[at : at + 4 * capacity]
                         rows.append((doc, k, at // 4, len(own) // 4, zlib.crc32(own), own)[: len(fields)])
