@@ -1,11 +1,11 @@
 """Personal data: base patterns, and terms that reveal what the patterns found.
 
-A protected entity is an identifier that a base pattern finds (its kind and value). Terms are the words close to
-it. Over all documents, the pointwise mutual information of a term and an entity says how much of the entity's
-information content the term gives away: PMI(t; e) / IC(e) is 1 where the term never occurs without the entity.
-Terms whose disclosure reaches a threshold get spans of their own: ``sanitised`` generalises them, and removes
-those beyond a higher threshold. Only DataFrame functions are used. Texts are not shuffled: only matches, each
-with a bounded context, and counts that are combined before the shuffle.
+A protected entity is an identifier that a base pattern finds (its kind and value). Terms are the words of a
+document that holds it, wherever they stand, but for those of identifiers. Over all documents, the pointwise mutual
+information of a term and an entity says how much of the entity's information content the term gives away:
+PMI(t; e) / IC(e) is 1 where the term never occurs without the entity. Terms whose disclosure reaches a threshold
+get spans wherever they occur, also in documents without the entity: ``sanitised`` generalises them, and removes
+those beyond a higher threshold. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -23,7 +23,9 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
 TERM, WORD = "term", r"\p{L}++"
-#: Characters on either side of an identifier in which terms are looked for.
+#: Every text with a valid match has one of these; few others have.
+HINT = r"[@+]|[0-9](?:\.[0-9]++){3}|(?:[0-9][\x20-]?){11}[0-9]"
+#: Characters on either side of an identifier that tell its contexts apart.
 CONTEXT = 120
 #: A term is generalised from the first share of an entity's information on, and removed from the second on.
 DISCLOSURE, REMOVAL = 0.8, 0.95
@@ -43,34 +45,37 @@ def _valid(kind: Column, value: Column) -> Column:
 
 
 def _pieces(text: Column, pattern: str) -> Column:
-    """(match, text before it, text after it) for every match, in order."""
+    """(match, length of the text before it, hash of its context, whether matches cut that short) for every match, in order."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
     after = F.slice(between, F.lit(2), F.size(between))
     # The arrays are made once a row; named inside the lambda they would be made again for every match.
-    both = F.arrays_zip(found.alias("m"), between.alias("b"), after.alias("a"))
-    piece = lambda x: F.struct(x["m"].alias("value"), F.length(x["b"]).cast("long").alias("gap"), F.right(x["b"], F.lit(CONTEXT)).alias("left"), F.left(x["a"], F.lit(CONTEXT)).alias("right"))
+    both = F.arrays_zip(found.alias("m"), between.alias("b"), after.alias("a"), F.slice(between, F.lit(3), F.size(between)).alias("more"))
+    context = lambda x: F.xxhash64(F.right(x["b"], F.lit(CONTEXT)), F.lower(x["m"]), F.left(x["a"], F.lit(CONTEXT)))
+    short = lambda x, i: ((i > 0) & (F.length(x["b"]) < CONTEXT)) | (x["more"].isNotNull() & (F.length(x["a"]) < CONTEXT))
+    piece = lambda x, i: F.struct(x["m"].alias("value"), F.length(x["b"]).cast("long").alias("gap"), context(x).alias("context"), short(x, i).alias("short"))
     cut = F.transform(F.filter(both, lambda x: x["m"].isNotNull()), piece)
     return F.when(text.rlike(pattern), cut)
 
 
-def _words(context: Column, from_: Column) -> Column:
-    """(term, start, end) of the words of a short context that starts at ``from_``."""
-    found, between = F.regexp_extract_all(context, F.lit(WORD), F.lit(0)), F.split(context, WORD, -1)
-    size = lambda pieces, n: F.aggregate(F.slice(pieces, F.lit(1), n), F.lit(0), lambda total, x: total + F.length(x))
-    at = lambda i: from_ + size(between, i + 1) + size(found, i)
-    return F.transform(found, lambda w, i: F.struct(F.lower(w).alias("term"), at(i).alias("start"), (at(i) + F.length(w)).alias("end")))
+def _words(text: Column) -> Column:
+    """The different words of a text, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower))
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """row, doc_id, kind, start, end, value, left, right of each valid match; also one row without a kind a document.
+    """row, doc_id, kind, start, end, value, context of each valid match; also one row without a kind a document.
 
-    Offsets count code points, ends are exclusive. ``row`` tells rows apart that repeat a doc_id or have none.
+    A context that a neighbouring match cuts short is told apart by the whole text. Offsets count code points, ends are exclusive. ``row`` tells rows apart that repeat a doc_id or have none.
     """
     text = F.col("text")
     hints = {"email": text.contains("@"), "phone": text.contains("+")}
     found = docs.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id",
+        F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("whole"),
         F.filter(
             F.array(
                 F.struct(F.lit(None).cast("string").alias("kind"), F.when(F.lit(False), _pieces(text, CARD)).alias("found")),
@@ -79,8 +84,8 @@ def base_spans(docs: DataFrame) -> DataFrame:
             lambda x: x["kind"].isNull() | x["found"].isNotNull(),
         ).alias("kinds"),
     )
-    flat = found.select("row", "doc_id", F.explode("kinds").alias("k")).select("row", "doc_id", "k.kind", F.posexplode_outer("k.found").alias("i", "m"))
-    flat = flat.select("row", "doc_id", "kind", "i", "m.*").repartition("row")
+    flat = found.select("row", "doc_id", "whole", F.explode("kinds").alias("k")).select("row", "doc_id", "whole", "k.kind", F.posexplode_outer("k.found").alias("i", "m"))
+    flat = flat.select("row", "doc_id", "whole", "kind", "i", "m.*").repartition("row")
     before = Window.partitionBy("row", "kind").orderBy("i")
     length = F.length("value")
     ended = F.sum(F.col("gap") + length).over(before)
@@ -88,36 +93,50 @@ def base_spans(docs: DataFrame) -> DataFrame:
         flat.withColumn("end", ended)
         .withColumn("start", F.col("end") - length)
         .where(F.col("kind").isNull() | _valid(F.col("kind"), F.col("value")))
-        .select("row", "doc_id", "kind", "start", "end", "value", "left", "right")
+        .select("row", "doc_id", "kind", "start", "end", "value", F.when(F.col("short"), F.xxhash64("context", "whole")).otherwise(F.col("context")).alias("context"))
     )
 
 
 def disclosing_terms(docs: DataFrame, base: DataFrame, threshold: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """row, doc_id, start, end, disclosure of words in the context of an entity that they reveal.
+    """row, doc_id, start, end, disclosure of every occurrence of a word that reveals an entity.
 
     Counts are of documents, over the whole corpus; a pair has to be seen in ``support`` documents and
-    different contexts, so copies of one document are no evidence.
+    different contexts of the entity, so copies of one document are no evidence.
     """
-    hit = base.where("kind is not null").withColumn("e", F.xxhash64("kind", F.lower("value"))).withColumn("context", F.xxhash64("left", "e", "right"))
-    cut = F.length("left") == CONTEXT
-    left = F.filter(_words(F.col("left"), F.col("start") - F.length("left")), lambda w: ~(cut & (w["start"] == F.col("start") - F.length("left"))))
-    full = F.length("right") == CONTEXT
-    right = F.filter(_words(F.col("right"), F.col("end")), lambda w: ~(full & (w["end"] == F.col("end") + CONTEXT)))
-    seen = materialize(hit.select("row", "doc_id", "e", "context", F.explode(F.concat(left, right)).alias("w")).select("row", "doc_id", "e", "context", "w.*"), "terms")
-
-    pairs = seen.groupBy("term", "e").agg(F.countDistinct("row").alias("n_both"), F.countDistinct("context").alias("n_contexts")).where(F.least("n_contexts", "n_both") >= support)
-    entities = hit.groupBy("e").agg(F.countDistinct("row").alias("n_entity"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
-    terms = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    hit = base.where("kind is not null").withColumn("e", F.xxhash64("kind", F.lower("value")))
+    entities = hit.groupBy("e").agg(F.countDistinct("row").alias("n_entity"), F.countDistinct("context").alias("n_contexts")).where(F.least("n_contexts", "n_entity") >= support)
+    # More contexts of a row than ``support`` change nothing: they are asked to be so many at least.
+    by_entity = hit.groupBy("row", "e").agg(F.collect_set("value").alias("values"), F.slice(F.sort_array(F.collect_set("context")), 1, support).alias("contexts"))
+    asked = by_entity.join(entities.select("e", F.lit(True).alias("asked")), "e", "left")
+    held = asked.groupBy("row").agg(F.flatten(F.collect_list("values")).alias("values"), F.collect_list(F.when(F.col("asked"), F.struct("e", "contexts"))).alias("seen"))
+    # The longest first: one may be a part of another.
+    long_first = F.transform(F.sort_array(F.transform("values", lambda v: F.struct(F.length(v).alias("n"), v.alias("v"))), asc=False), lambda x: x["v"])
+    held = materialize(held.where(F.size("seen") > 0).select("row", long_first.alias("values"), "seen"), "held")
+
+    bare = F.aggregate("values", F.col("text"), lambda text, value: F.replace(text, value, F.lit(" ")))
+    met = _numbered(docs).where(F.col("text").rlike(HINT)).join(held, "row").select("row", "seen", F.explode(_words(bare)).alias("term"))
+    met = met.select("row", "term", F.explode("seen").alias("s")).select("row", "term", "s.e", F.explode("s.contexts").alias("context"))
+    pairs = met.groupBy("term", "e").agg(F.countDistinct("row").alias("n_both"), F.countDistinct("context").alias("n_contexts")).where(F.least("n_contexts", "n_both") >= support)
+    terms = docs.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     total = base.where("kind is null").agg(F.count("*").alias("n_all"))
     scored = (
         pairs.join(entities, "e").join(terms, "term").crossJoin(F.broadcast(total))  # one row
         .withColumn("information", F.log2(F.col("n_all") / F.col("n_entity")))
         .withColumn("disclosure", F.when(F.col("information") > 0, F.log2(F.col("n_both") * F.col("n_all") / (F.col("n_term") * F.col("n_entity"))) / F.col("information")))
         .where(F.col("disclosure") >= threshold)
-        .select("term", "e", "disclosure")
     )
-    return seen.join(scored, ["term", "e"]).groupBy("row", "doc_id", "start", "end").agg(F.max("disclosure").alias("disclosure"))
+    scored = materialize(scored.groupBy("term").agg(F.max("disclosure").alias("disclosure")), "terms")
+
+    surface = F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    marked = _numbered(docs).select("row", F.explode(surface).alias("word")).withColumn("term", F.lower("word")).join(scored, "term")
+    marked = materialize(marked.select("row", "word", "disclosure"), "marked")
+    # Only marked words are cut out, by a pattern of each row's own.
+    either = marked.groupBy("row").agg(F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(F.collect_list("word"), "|"), F.lit(r")(?!\p{L})")).alias("either"))
+    found, between = F.regexp_extract_all("text", F.col("either"), F.lit(0)), F.split("text", F.col("either"), -1)
+    own = _numbered(docs).join(either, "row").select("row", "doc_id", F.posexplode(F.arrays_zip(found.alias("w"), F.transform(between, F.length).alias("gap"))).alias("i", "x"))
+    own = own.where("x.w is not null").select("row", "doc_id", "i", F.col("x.w").alias("word"), F.length("x.w").alias("size"), "x.gap")
+    own = own.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("row").orderBy("i")))
+    return own.join(marked, ["row", "word"]).select("row", "doc_id", (F.col("end") - F.col("size")).alias("start"), "end", "disclosure")
 
 
 def find_private(docs: DataFrame, threshold: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:

@@ -197,6 +197,16 @@ def test_disclosing_terms(spark):
     assert out[0] == rows[0][1]
 
 
+def test_disclosing_terms_over_whole_texts(spark):
+    plain = "plain words here and there " * 12
+    rows = [(i, f"plain words here and there, number {chr(97 + i % 26)}", None, "x", 0) for i in range(40)]
+    rows += [(50, f"Zorblatt {plain}: z@x.org, y{50}@x.org, {plain} says ZORBLATT", None, "x", 0), (51, f"by z@x.org, w@x.org {plain} zorblatt", None, "x", 0), (52, "only zorblatt here", None, "x", 0)]
+    rows += [(i, f"quuxly {plain} q@x.org", None, "x", 0) for i in (60, 61)]
+    found = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == private.TERM] for r in private.find_private(docs(spark, rows)).collect()}
+    assert {i: s for i, s in found.items() if s} == {i: [m.span() for m in re.finditer("zorblatt", t, re.IGNORECASE)] for i, t, *_ in rows[40:43]}
+    assert {r.doc_id: r.text for r in private.sanitised(docs(spark, rows)).collect()}[52] == "only [TERM] here"
+
+
 def test_language(spark):
     say = {"aa": "the cat and the dog were here", "bb": "der hund und die katze waren hier", "cc": "le chien et les chats sont ici"}
     rows = [(i, f"{say[x]} {i}", x, "x", 0) for i, x in enumerate(list(say) * 20)] + [(90, None, "aa", "x", 0), (91, "12 !", "bb", "x", 0), (92, "die katze", None, "x", 0)]
