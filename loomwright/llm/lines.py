@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from loomwright.llm.common import materialize, mix, pieces, texts, worker_memory
 
-#: Lines with fewer characters are left alone.
+#: Two lines with fewer characters are no near copies: an edit is much of them.
 LEAST_CHARACTERS = 16
 #: Stands for a missing doc_id.
 NO_ID = -(1 << 63)
@@ -47,24 +47,24 @@ def deletion_neighbourhood(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np
     return keys.view(np.int64), np.concatenate((np.full(len(lines), -1), place)), np.concatenate((np.arange(len(lines)), owner))
 
 
-def _kept_lines(keyed: DataFrame, least: int) -> DataFrame:
-    """d, k, n of the lines of ``least`` characters or more that stay.
+def _kept_lines(keyed: DataFrame, least: int, equal_from: int) -> DataFrame:
+    """d, k, n of the lines of ``equal_from`` characters or more that stay.
 
     All that follows the search for candidates is one plan with the caller's join, and takes every column of
     ``keyed`` as that does, so that texts are shuffled once and both joins read them.
     """
     lines = keyed.where(F.col("_line_d") > NO_ID).select(F.col("_line_d").alias("d"), F.col("_line_k").alias("k"), F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
     size = F.length("line")
-    long_ = lines.where(size >= least)
+    long_ = lines.where(size >= equal_from)
     half = lambda n: (n / 2).cast("int")
     halves = [F.xxhash64(F.lit(kind), n, F.substring(F.col("line"), F.lit(1), half(n)) if kind == "first" else F.substring(F.col("line"), size - (n - half(n)) + 1, n - half(n))) for n in (size, size - 1) for kind in ("first", "last")]
     distinct = (
-        long_.select("d", "k", "n", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(9), "line").alias("h2"), *[h.alias(f"half{i}") for i, h in enumerate(halves)])
+        long_.select("d", "k", "n", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(9), "line").alias("h2"), *[F.when(size >= least - 1, h).alias(f"half{i}") for i, h in enumerate(halves)])
         .groupBy("h1", "h2", *[f"half{i}" for i in range(4)])
         .agg(F.min(F.struct("d", "k", "n")).alias("o"))
     )
     distinct = materialize(distinct.select("o.*", F.array(*[f"half{i}" for i in range(4)]).alias("halves")), "lines")
-    shared = distinct.select("d", "k", "n", F.explode("halves").alias("half")).withColumn("lines", F.count("*").over(Window.partitionBy("half")))
+    shared = distinct.where(F.col("halves")[0].isNotNull()).select("d", "k", "n", F.explode("halves").alias("half")).withColumn("lines", F.count("*").over(Window.partitionBy("half")))
     some = materialize(shared.where("lines > 1").select("d", "k", "n").distinct(), "candidates")
 
     asked = some.groupBy(F.col("d").alias("_line_d"), F.col("k").alias("_line_k")).agg(F.collect_list("n").alias("_line_asked"))
@@ -105,19 +105,20 @@ def _kept_lines(keyed: DataFrame, least: int) -> DataFrame:
         pairs.select("d", "k", "n", F.col("w.d").alias("wd"), F.col("w.k").alias("wk"), F.col("w.n").alias("wn"))
         .join(first, ["d", "k", "n"])
         .join(second, ["wd", "wk", "wn"])
-        .where(F.levenshtein("line", "wline", 1).between(0, 1))
+        .where((F.greatest(F.length("line"), F.length("wline")) >= least) & F.levenshtein("line", "wline", 1).between(0, 1))
         .select("d", "k", "n")
         .distinct()
     )
     return distinct.select("d", "k", "n").join(near, ["d", "k", "n"], "left_anti")
 
 
-def drop_repeated_lines(docs: DataFrame, least: int = LEAST_CHARACTERS) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, least: int = LEAST_CHARACTERS, equal_from: int = LEAST_CHARACTERS) -> DataFrame:
     """``docs`` with text and n_chars (where there is one) after the removal; documents left without text go.
 
-    Lines end at line feeds; they are compared as they are. A line of ``least`` characters or more goes if an
-    earlier one, by doc_id and then by place, is the same or one inserted, deleted or substituted character away.
-    What is earlier is judged on the input. Shorter lines, documents without a doc_id and texts that are null or
+    Lines end at line feeds; they are compared as they are. A line of ``equal_from`` characters or more goes
+    if an earlier one, by doc_id and then by place, is the same or, where the longer of the two has ``least``
+    characters, one inserted, deleted or substituted character away. What is earlier is judged on the input. Shorter
+    lines, documents without a doc_id and texts that are null or
     empty stay as they are, but a document that loses lines and has only blanks left goes. Rows that repeat a
     doc_id are told apart by their texts; equal ones share their fate. Other columns pass through.
     """
@@ -125,7 +126,7 @@ def drop_repeated_lines(docs: DataFrame, least: int = LEAST_CHARACTERS) -> DataF
     place = names.index("text")
     keys = {"_line_d": F.coalesce(F.col("`doc_id`"), F.lit(NO_ID)), "_line_k": F.crc32(F.coalesce(F.col("`text`"), F.lit("")).cast("binary"))}
     keyed = docs.select("*", *[c.alias(n) for n, c in keys.items()])
-    kept = _kept_lines(keyed, least)
+    kept = _kept_lines(keyed, least, equal_from)
     stay = kept.groupBy(F.col("d").alias("_line_d"), F.col("k").alias("_line_k")).agg(F.collect_set("n").alias("_line_stay"))
     joined = keyed.join(stay, ["_line_d", "_line_k"], "left").select(*[F.col(f"`{c}`") for c in names], (F.col("_line_d") > NO_ID).alias("_line_known"), "_line_stay")
 
@@ -137,7 +138,7 @@ def drop_repeated_lines(docs: DataFrame, least: int = LEAST_CHARACTERS) -> DataF
                 known, stays = (part.column(c).to_pylist() for c in ("_line_known", "_line_stay"))
                 for row, (text, k, stay_) in enumerate(zip(part.column(place).to_pylist(), known, stays, strict=True)):
                     own, stay_ = (text or "").split("\n"), set(stay_ or ())
-                    left = [x for n, x in enumerate(own) if not k or n in stay_ or len(x) < least]
+                    left = [x for n, x in enumerate(own) if not k or n in stay_ or len(x) < equal_from]
                     if len(left) < len(own):
                         text = "\n".join(left)
                         if not text.strip(" "):

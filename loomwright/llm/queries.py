@@ -60,7 +60,7 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.drop_repeated_lines(_documents(spark, sf_dir))
+    return lines.drop_repeated_lines(_documents(spark, sf_dir), equal_from=1)
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,6 +131,15 @@ def test_lines(spark):
     assert lines.drop_repeated_lines(docs(spark, [])).count() == 0
 
 
+def test_short_lines(spark):
+    rows = [(0, "short\n\nshort\nx\nshore", 1), (1, "short", 1), (2, "\nx\n15 characters..\ny", 1), (3, "15 characters.\n15 characters,.", 1), (4, "15 character..", 1)]
+    got = lines.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string, n_chars int"), equal_from=1).collect()
+    assert {r.doc_id: r.text for r in got} == {0: "short\n\nx\nshore", 2: "\n15 characters..\ny", 3: "15 characters.\n15 characters,.", 4: "15 character.."}
+    rows = [(0, "fifteen letters", 1), (1, "fifteen  letters", 1), (2, "fifteen lettert", 1)]
+    got = lines.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string, n_chars int"), equal_from=1).collect()
+    assert {r.doc_id for r in got} == {0, 2}
+
+
 def vectors(spark):
     r = np.random.default_rng(5)
     base = r.normal(size=(120, 12))
