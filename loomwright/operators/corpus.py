@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -164,6 +167,27 @@ def length_similarity(output: Column, reference: Column) -> Column:
     return 1 / (1 + F.abs(a - b) / b)
 
 
+def token_edit_distance(df: DataFrame, id_: str, output: str, reference: str) -> DataFrame:
+    """id, distance, similarity: edits between two token arrays over the size of the reference; null where that is empty."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                number: dict[str, int] = {}
+                x, y = (np.array([number.setdefault(t, len(number)) for t in tokens or ()], np.int64) for tokens in (a, b))
+                at = np.arange(len(y) + 1)
+                row = at
+                for i, token in enumerate(x, 1):
+                    best = np.concatenate(([i], np.minimum(row[1:] + 1, row[:-1] + (y != token))))
+                    row = np.minimum.accumulate(best - at) + at
+                out.append(row[-1] / len(y) if len(y) else None)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.float64())], names=["id", "distance"])
+
+    asked = df.select(F.col(id_).cast("long").alias("id"), F.col(output).alias("a"), F.col(reference).alias("b"))
+    return asked.mapInArrow(measure, "id long, distance double").select(F.col("id").alias(id_), "distance", (1 / (1 + F.col("distance"))).alias("similarity"))
+
+
 def diagnostic_reward(errors: Column, warnings: Column, badboxes: Column) -> Column:
     return clamp(1 - 0.10 * errors - 0.05 * warnings - 0.01 * badboxes, -2.0, 1.0)
 

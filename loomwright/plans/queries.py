@@ -345,6 +345,13 @@ def edit_distance(t: Tables) -> DataFrame:
     return t.documents.join(other, "doc_id").select("doc_id", F.levenshtein(start, "other").alias("distance"))
 
 
+@query("")
+def token_edit_distance(t: Tables) -> DataFrame:
+    tokens = T.tokens(T.strip_comments(F.coalesce("text", F.lit(""))))
+    other = t.documents.select((c("doc_id") - 1).alias("doc_id"), tokens.alias("reference"))
+    return C.token_edit_distance(t.documents.select("doc_id", tokens.alias("output")).join(other, "doc_id"), "doc_id", "output", "reference")
+
+
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def incremental_top_up(t: Tables) -> DataFrame:
     return t.documents.select("doc_id").join(t.labels.select("doc_id"), "doc_id", "left_anti")

@@ -1,5 +1,7 @@
 """Text functions, quotas and joins against small restatements and fixtures."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +59,24 @@ def test_rewards_and_lengths(spark):
     assert row.s == pytest.approx(1 / 1.5)
 
 
+def test_token_edit_distance(spark):
+    def brute(a, b):
+        previous = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            current = [i]
+            for j, y in enumerate(b, 1):
+                current.append(min(current[-1] + 1, previous[j] + 1, previous[j - 1] + (x != y)))
+            previous = current
+        return previous[-1]
+
+    r = random.Random(4)
+    tokens = lambda: [r.choice(["a", "é", "e", "NUM"]) for _ in range(r.randint(0, 70))]
+    rows = [(i, tokens(), tokens()) for i in range(60)] + [(60, ["a"] * 50 + ["é"], ["a"] * 50 + ["e"]), (61, ["a"], []), (62, [], ["a"])]
+    got = {x.i: x.distance for x in C.token_edit_distance(spark.createDataFrame(rows, "i long, a array<string>, b array<string>"), "i", "a", "b").collect()}
+    assert got == {i: brute(a, b) / len(b) if b else None for i, a, b in rows}
+    assert "token_edit_distance" in __spark_entry__.queries()
+
+
 def test_registered(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).columns == ["doc_id", "code_hash"]
