@@ -267,6 +267,11 @@ def fence_extract(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", T.fenced_block(F.concat(F.lit("```tex\n"), F.substring(flat, 1, 40), F.lit("```"))).alias("code"))
 
 
+@query("")
+def fence_extract_whole(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", T.fenced_block(c("text")).alias("code"))
+
+
 @query("SELECT doc_id AS id, text, lang FROM documents UNION ALL SELECT item_id, text, NULL FROM benchmark")
 def schema_drift_union(t: Tables) -> DataFrame:
     return t.documents.select(c("doc_id").alias("id"), "text", "lang").unionByName(t.benchmark.select(c("item_id").alias("id"), "text"), allowMissingColumns=True)

@@ -77,6 +77,15 @@ def test_token_edit_distance(spark):
     assert "token_edit_distance" in __spark_entry__.queries()
 
 
+def test_fence_extract_whole(spark, tmp_path):
+    far, picture = "some words " * 30, "\\begin{tikzpicture}\n\\draw (0,0);\n\\end{tikzpicture}"
+    whole = "\\documentclass{article}\n" + picture + "\n\\end{document}"
+    rows = [(0, far + "```latex\na b\n  c\n``` after ```d```"), (1, far + whole + far), (2, far + picture + far), (3, far), (4, "``` ```" + far + picture), (5, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.code for r in __spark_entry__.queries()["fence_extract_whole"](spark, str(tmp_path)).collect()}
+    assert got == {0: "a b\n  c", 1: whole, 2: picture, 3: "", 4: picture, 5: None}
+
+
 def test_registered(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).columns == ["doc_id", "code_hash"]
