@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright.functions import text as T
+from loomwright.llm.common import materialize
 
 #: N-gram orders with weights, least repeats, and the classes' upper limits.
 ORDERS = {2: 0.35, 3: 0.30, 4: 0.20, 6: 0.20}
@@ -147,6 +148,20 @@ def per_class(df: DataFrame, class_: str, n: int | Column, *order: Column) -> Da
     return df.withColumn("place", place).where(F.col("place") <= n)
 
 
+def places(df: DataFrame, level: Column, *order: str) -> DataFrame:
+    """All rows with their place by level and order: a distributed sort, places in each part, and the parts' offsets.
+
+    The parts are written to the shared folder: dealt again, they could begin elsewhere.
+    """
+    dealt = df.withColumn("_level", level).repartitionByRange("_level", *order).withColumn("_part", F.spark_partition_id())
+    dealt = materialize(dealt, "places")
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row for each part
+    own = F.row_number().over(Window.partitionBy("_part").orderBy("_level", *order))
+    placed = dealt.withColumn("_own", own).join(F.broadcast(before), "_part")
+    return placed.withColumn("place", F.col("_before") + F.col("_own")).drop("_level", "_part", "_own", "_before")
+
+
 # --- vectors and scores
 
 

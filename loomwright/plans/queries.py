@@ -197,6 +197,12 @@ def curriculum_sort(t: Tables) -> DataFrame:
     return first.withColumn("place", F.row_number().over(Window.orderBy("level", "o_orderkey"))).select("o_orderkey", "o_orderpriority", "place")
 
 
+@query("SELECT o_orderkey, o_orderpriority, row_number() OVER (ORDER BY CASE o_orderpriority WHEN '5-LOW' THEN 0 WHEN '2-HIGH' THEN 1 WHEN '1-URGENT' THEN 2 ELSE 3 END, o_orderkey) AS place FROM orders")
+def curriculum_sort_whole(t: Tables) -> DataFrame:
+    level = F.when(c("o_orderpriority") == "5-LOW", 0).when(c("o_orderpriority") == "2-HIGH", 1).when(c("o_orderpriority") == "1-URGENT", 2).otherwise(3)
+    return C.places(t.orders, level, "o_orderkey").select("o_orderkey", "o_orderpriority", "place")
+
+
 @query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def cosine_pairs(t: Tables) -> DataFrame:
     a = t.embeddings.select(c("vec_id").alias("a"), C.unit(c("embedding")).alias("u"))

@@ -86,6 +86,15 @@ def test_fence_extract_whole(spark, tmp_path):
     assert got == {0: "a b\n  c", 1: whole, 2: picture, 3: "", 4: picture, 5: None}
 
 
+def test_curriculum_sort_whole(spark, tmp_path):
+    names = ["5-LOW", "2-HIGH", "1-URGENT", "3-MEDIUM", None]
+    rows = [(i * 7919 % 3001, names[i % 5]) for i in range(3001)]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.o_orderkey: r.place for r in __spark_entry__.queries()["curriculum_sort_whole"](spark, str(tmp_path)).collect()}
+    level = {"5-LOW": 0, "2-HIGH": 1, "1-URGENT": 2}
+    assert got == {k: n + 1 for n, (k, _) in enumerate(sorted(rows, key=lambda r: (level.get(r[1], 3), r[0])))}
+
+
 def test_registered(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).columns == ["doc_id", "code_hash"]
