@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright.functions import text as T
-from loomwright.llm.common import materialize
+from loomwright.storage import materialize
 
 #: N-gram orders with weights, least repeats, and the classes' upper limits.
 ORDERS = {2: 0.35, 3: 0.30, 4: 0.20, 6: 0.20}
