@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import sys
-import tempfile
 import types
-import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -14,39 +12,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwright.storage import materialize, release
+
 #: Most bytes of text that an Arrow function works on at once, whatever the size of the batches that arrive.
 CHUNK_BYTES = 2 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from ``spark.checkpoint.dir``; a folder of its own only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        own = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = own.get() if own.isDefined() else "file://" + tempfile.mkdtemp(prefix="loomwright-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(*frames: DataFrame) -> None:
-    """Delete the files of materialized frames that no later step reads."""
-    for df in frames:
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def columns_of(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns of an input never clash with an operator's own."""
     return df.select(*[F.col(f"`{n}`") for n in names])
