@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -82,6 +83,45 @@ def test_plan_is_whole_and_exact():
     assert held == counts
 
 
+def test_plan_needs_no_more_sequences_than_best_fit():
+    r = np.random.default_rng(2)
+    tables = {
+        "uniform": (r.integers(1, 4097, 200_000), 4096),
+        "few lengths": (r.choice(r.integers(1, 1001, 300), 2700), 1000),
+        "log-normal": (np.clip(r.lognormal(6.5, 1.2, 50_000).astype(int) + 1, 1, 4096), 4096),
+        "longer": (np.clip(r.lognormal(7.3, 1.0, 50_000).astype(int) + 1, 1, 4096), 4096),
+    }
+    for name, (lengths, capacity) in tables.items():
+        counts = {int(k): int(n) for k, n in Counter(lengths.tolist()).items()}
+        plan = packing.plan_patterns(counts, capacity)
+        held = Counter()
+        for times, own in plan:
+            assert sum(own) <= capacity
+            for x in own:
+                held[x] += times
+        assert held == counts, name
+        sequences, whole = packing._sequences(plan), -(-int(lengths.sum()) // capacity)
+        assert whole <= sequences <= packing._sequences(packing._best_fit(counts, capacity)), name
+        assert sum(times for times, own in plan if sum(own) == capacity and len(own) > 1) > 0, name
+
+
+def test_token_ids_of_odd_texts():
+    r = random.Random(1)
+    parts = ["a", "b", "der", "the", "\u00fc", "\u00df", "\u00c9", "\u03a3", "\u0130", "\u00ff", "\u00f7", "'s", "'", "7", "12", ".", ",", "..", " ", " ", "  ", "\n", "\t", "\x0b", "\x1c", "\u00a0", "\u2003", "e\u0301", "\u0301", "<|", "<|endoftext|>", "<|EndOfText|>", "\u4e2d", "\U0001f600", "-", "@", "A", "x" * 90]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(3000)] + [None, "", "7", "ab 7 cd"]
+    words, tokenizer = packing.WordTokens(PATH), Tokenizer.from_file(PATH)
+    for _ in range(2):  # the second time from memory
+        flat, ends = words.ids(pa.array(texts))
+        got = [x.tolist() for x in np.split(flat, ends[:-1])]
+        assert got == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_word_memory_is_bounded(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 50)
+    monkeypatch.setattr(packing, "GATHER_WORDS", 7)
+    test_token_ids_of_odd_texts()
+
+
 def test_substrings(spark):
     rows = corpus() + [(2, "again " * 80, None, "x", 0)]
     first, want = {}, Counter()
