@@ -12,13 +12,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.storage import materialize, release
 
 #: Most bytes of text that an Arrow function works on at once, whatever the size of the batches that arrive.
 CHUNK_BYTES = 2 << 20
+#: A key is hot with more rows than HOT_ROWS and more than one of HOT_KEYS parts of all rows.
+HOT_KEYS, HOT_ROWS = 2_000, 500
 
 
 def columns_of(df: DataFrame, *names: str) -> DataFrame:
@@ -26,6 +28,22 @@ def columns_of(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to be none of the table's, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
+def text_key(text: Column) -> Column:
+    """Tells apart texts of rows with one id; null counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")), F.length(F.coalesce(text, F.lit(""))))
+
+
 def worker_memory(name: str | None = None, make: Callable[[], Any] = lambda: None) -> Any:
     """What ``make`` gives, kept under ``name`` by a worker process from task to task.
 
@@ -97,35 +115,53 @@ def grams(ids: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+def join_counted(left: DataFrame, right: DataFrame, on: list[str], total: int, size: str = "size") -> DataFrame:
+    """Inner join of ``left`` with ``right``, whose keys are unique and which counts the rows of ``left`` in ``size``.
+
+    Keys with over 1 / HOT_KEYS of the ``total`` rows of ``left`` are fewer than HOT_KEYS, so these are broadcast and
+    their rows stay where they are; no task gets more than that share of the rows for one of the other keys.
+    """
+    limit = max(HOT_ROWS, total // HOT_KEYS)
+    hot = right.where(F.col(size) > limit).drop(size)
+    marked = left.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), on, "left")
+    here = marked.where("_hot").drop("_hot")
+    there = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(right.where(F.col(size) <= limit).drop(size), on)
+    return here.unionByName(there)
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component) of every node of ``edges(a, b)``: the smallest id that links reach.
 
-    Alternating large-star and small-star steps. Each step is a map-side combined minimum and a join back,
-    so a hub with millions of neighbours never meets in one task, and every step is written to the shared folder.
+    Alternating large-star and small-star steps. Each step is a map-side combined minimum and a join back that
+    broadcasts the minima of hubs (see ``join_counted``), so a hub with millions of neighbours never meets in one
+    task. Every step is written to the shared folder.
     """
     same = materialize(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
     )
-    for _ in range(rounds):
+    n = same.count()
+    for _ in range(rounds if n else 0):
         both = same.union(same.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("low"))
+        near = both.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("size")).select("u", F.least("u", "low").alias("low"), "size")
+        large = join_counted(both, near, ["u"], 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("size"))
         small = (
-            large.join(low, "u")
+            join_counted(large, low, ["u"], 2 * n)
             .select(F.explode(F.array(F.struct("u", F.col("low").alias("v")), F.struct(F.col("v").alias("u"), F.col("low").alias("v")))).alias("e"))
             .select("e.u", "e.v")
             .where("u <> v")
             .distinct()
         )
         after = materialize(small, "edges")
-        changed = after.exceptAll(same).limit(1).count() if after.count() == same.count() else 1
+        m = after.count()
+        changed = m != n or not after.join(same, ["u", "v"], "left_anti").isEmpty()
         release(same)
-        same = after
+        same, n = after, m
         if not changed:
             break
     else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+        if n:
+            raise RuntimeError(f"components did not settle in {rounds} rounds")
     return same.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
         same.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )
