@@ -8,7 +8,8 @@
    pass. Within a key, documents are first compared with a few pivots, then those that are still in different
    components with more pivots, and what that leaves in different components exhaustively. Links inside a
    component are never expanded, and no partner is capped.
-4. Candidates are verified once a pair on their whole texts, after the suffix filter.
+4. The suffix filter parts both sets alike and bounds what they can share by the sizes of the parts, from a small
+   signature of each set; it goes before the texts are fetched. What passes is verified once a pair on whole texts.
 """
 
 from __future__ import annotations
@@ -20,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import WordHashes, columns_of, connected_components, grams, hashed_words, materialize, mix, pieces, release, texts, worker_memory
+from loomwright.llm.common import WordHashes, columns_of, connected_components, grams, hashed_words, join_counted, materialize, mix, pieces, release, texts, worker_memory
 
 WORDS, PERCENT = 5, 75
 #: The sketch has 2 ** SKETCH_BITS counters, which are kept in blocks.
 SKETCH_BITS, BLOCK = 20, 1 << 14
 #: Rounds of comparisons within a key: with pivots picked by these hash seeds, and at last of all with all.
 PIVOTS = (range(4), range(4, 20), None)
+#: The suffix filter parts a set into 2 ** PART_BITS by the first bits of its hashes.
+PART_BITS = 7
 
 
 def shingle_set(words: list[bytes], hashes: WordHashes, n: int = WORDS) -> np.ndarray:
@@ -41,14 +44,19 @@ def shingle_set(words: list[bytes], hashes: WordHashes, n: int = WORDS) -> np.nd
     return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
+def part_sizes(s: np.ndarray) -> bytes:
+    """A byte for the size of each part; 255 stands for all larger ones, which only weakens the filter."""
+    return np.minimum(np.bincount(s >> np.uint64(64 - PART_BITS), minlength=1 << PART_BITS), 255).astype(np.uint8).tobytes()
+
+
 def _sets(batch: pa.RecordBatch, hashes: WordHashes, n: int, column: str = "text") -> Iterator[np.ndarray]:
     for text in texts(batch, column):
         yield shingle_set(text.lower().split(), hashes, n)  # bytes: only A-Z change, only ASCII white space splits
 
 
 def _statistics(docs: DataFrame, n: int) -> DataFrame:
-    """Rows of kind 0: id, size and fingerprint of a set. Rows of kind 1: a block of the sketch of one task."""
-    schema = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("counts", pa.binary())])
+    """Rows of kind 0: id, size, fingerprint and parts of a set. Rows of kind 1: a block of the sketch of one task."""
+    schema = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("parts", pa.binary()), ("counts", pa.binary())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_memory()
@@ -61,14 +69,14 @@ def _statistics(docs: DataFrame, n: int) -> DataFrame:
                 h1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                 h2 = np.array([np.bitwise_xor.reduce(mix(s + np.uint64(77))) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(len(sets), np.int32)), part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(h1), pa.array(h2), pa.nulls(len(sets), pa.binary())], schema=schema
+                    [pa.array(np.zeros(len(sets), np.int32)), part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(h1), pa.array(h2), pa.array([part_sizes(s) for s in sets], pa.binary()), pa.nulls(len(sets), pa.binary())], schema=schema
                 )
         blocks = [sketch[i : i + BLOCK].tobytes() for i in range(0, len(sketch), BLOCK)]
         k = len(blocks)
         none = pa.array([0] * k, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), pa.array(range(k), pa.int64()), none, none, none, pa.array(blocks)], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), pa.array(range(k), pa.int64()), none, none, none, pa.nulls(k, pa.binary()), pa.array(blocks)], schema=schema)
 
-    return materialize(docs.mapInArrow(count, "kind int, id long, n long, h1 long, h2 long, counts binary"), "statistics")
+    return materialize(docs.mapInArrow(count, "kind int, id long, n long, h1 long, h2 long, parts binary, counts binary"), "statistics")
 
 
 def _sketch(statistics: DataFrame) -> np.ndarray:
@@ -124,8 +132,23 @@ def _may_link(percent: int) -> F.Column:
     return (percent * F.greatest(n, m) <= 100 * F.least(n, m)) & (reach >= least)
 
 
+def suffix_filter(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Those of ``pairs(a, b)`` that can share enough by the sizes of their parts, from ``sets(id, n, parts)``."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1).astype(np.int16) for c in ("pa", "pb"))
+            both = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            least = -(-percent * both // (100 + percent))
+            apart = np.abs(x - y).sum(axis=1, dtype=np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array(apart <= both - 2 * least))
+
+    first, second = (sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("parts").alias(f"p{c}")) for c in "ab")
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(check, "a long, b long").distinct()
+
+
 def verify(pairs: DataFrame, texts_: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose whole texts reach the threshold, by the suffix filter and an exact count."""
+    """Those of ``pairs(a, b)`` whose whole texts reach the threshold."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_memory()
@@ -133,20 +156,16 @@ def verify(pairs: DataFrame, texts_: DataFrame, n: int = WORDS, percent: int = P
         for batch in batches:
             for part in pieces(batch, "tb"):
                 keep = []
-                a_ids = part.column("a").to_pylist()
-                a_texts, b_sets = texts(part, "ta"), _sets(part, hashes, n, "tb")
-                for a, ta, y in zip(a_ids, a_texts, b_sets, strict=True):
-                    if last[0] != a:
-                        last = (a, shingle_set(ta.lower().split(), hashes, n))
+                for ta, y in zip(texts(part, "ta"), _sets(part, hashes, n, "tb"), strict=True):
+                    if last[0] != ta:  # a doc_id may have several texts
+                        last = (ta, shingle_set(ta.lower().split(), hashes, n))
                     x = last[1]
-                    least = -(-percent * (len(x) + len(y)) // (100 + percent))
-                    bound = np.minimum(*[np.bincount(s >> np.uint64(56), minlength=256) for s in (x, y)]).sum()
-                    both = len(np.intersect1d(x, y, assume_unique=True)) if bound >= least else 0
+                    both = len(np.intersect1d(x, y, assume_unique=True))
                     keep.append(100 * both >= percent * (len(x) + len(y) - both) and both > 0)
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     first, second = (texts_.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
-    return pairs.join(first, "a").join(second, "b").select("a", "ta", "b", "tb").mapInArrow(check, "a long, b long")
+    return pairs.join(first, "a").join(second, "b").select("a", "ta", "b", "tb").mapInArrow(check, "a long, b long").distinct()
 
 
 def jaccard_links(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -162,8 +181,11 @@ def jaccard_links(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> tu
     statistics = _statistics(docs, n)
     frequency = spark.sparkContext.broadcast(_sketch(statistics))
     sets = statistics.where("kind = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "h1", "h2")
-    classes = sets.where("n_shingles > 0").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"))
-    members = materialize(sets.join(classes, ["n_shingles", "h1", "h2"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "members")
+    classes = sets.where("n_shingles > 0").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
+    empty = sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("rep"))
+    # A third of all documents may be one class.
+    grouped = join_counted(sets.where("n_shingles > 0"), classes, ["n_shingles", "h1", "h2"], sets.count())
+    members = materialize(grouped.select("doc_id", "n_shingles", "rep").unionByName(empty), "members")
 
     key = Window.partitionBy("g")
     shared = (
@@ -192,7 +214,8 @@ def jaccard_links(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> tu
             pairs = x.join(y, F.expr("x.g = y.g and x.doc_id < y.doc_id and x.c <> y.c") & _may_link(percent))
         pairs = pairs.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
         pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = materialize(verify(pairs, own, n, percent), "links")
+        hopeful = materialize(suffix_filter(pairs, statistics.where("kind = 0"), percent), "hopeful")
+        found = materialize(verify(hopeful, own, n, percent), "links")
         tested = pairs if tested is None else tested.union(pairs)
         links = found if links is None else links.union(found)
         if pivots:
