@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import materialize, mix, pieces, texts, worker_memory
+from loomwright.llm.common import fresh, join_counted, materialize, mix, pieces, text_key, texts, worker_memory
 
 #: Two lines with fewer characters are no near copies: an edit is much of them.
 LEAST_CHARACTERS = 16
@@ -47,13 +47,15 @@ def deletion_neighbourhood(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np
     return keys.view(np.int64), np.concatenate((np.full(len(lines), -1), place)), np.concatenate((np.arange(len(lines)), owner))
 
 
-def _kept_lines(keyed: DataFrame, least: int, equal_from: int) -> DataFrame:
+def _kept_lines(keyed: DataFrame, at: tuple[str, str], least: int, equal_from: int) -> DataFrame:
     """d, k, n of the lines of ``equal_from`` characters or more that stay.
 
     All that follows the search for candidates is one plan with the caller's join, and takes every column of
-    ``keyed`` as that does, so that texts are shuffled once and both joins read them.
+    ``keyed`` as that does, so that texts are shuffled once and both joins read them. ``at`` names its two keys.
     """
-    lines = keyed.where(F.col("_line_d") > NO_ID).select(F.col("_line_d").alias("d"), F.col("_line_k").alias("k"), F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
+    d_, k_ = at
+    (asked_,) = fresh(keyed, "_line_asked")
+    lines = keyed.where(F.col(d_) > NO_ID).select(F.col(d_).alias("d"), F.col(k_).alias("k"), F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
     size = F.length("line")
     long_ = lines.where(size >= equal_from)
     half = lambda n: (n / 2).cast("int")
@@ -64,10 +66,12 @@ def _kept_lines(keyed: DataFrame, least: int, equal_from: int) -> DataFrame:
         .agg(F.min(F.struct("d", "k", "n")).alias("o"))
     )
     distinct = materialize(distinct.select("o.*", F.array(*[f"half{i}" for i in range(4)]).alias("halves")), "lines")
-    shared = distinct.where(F.col("halves")[0].isNotNull()).select("d", "k", "n", F.explode("halves").alias("half")).withColumn("lines", F.count("*").over(Window.partitionBy("half")))
-    some = materialize(shared.where("lines > 1").select("d", "k", "n").distinct(), "candidates")
+    halved = distinct.where(F.col("halves")[0].isNotNull()).select("d", "k", "n", F.explode("halves").alias("half"))
+    several = halved.groupBy("half").agg(F.count("*").alias("size")).where("size > 1")
+    shared = join_counted(halved, several, ["half"], 4 * distinct.count())  # a half that templated lines share is hot
+    some = materialize(shared.select("d", "k", "n").distinct(), "candidates")
 
-    asked = some.groupBy(F.col("d").alias("_line_d"), F.col("k").alias("_line_k")).agg(F.collect_list("n").alias("_line_asked"))
+    asked = some.groupBy(F.col("d").alias(d_), F.col("k").alias(k_)).agg(F.collect_list("n").alias(asked_))
     schema = pa.schema([("d", pa.int64()), ("k", pa.int64()), ("n", pa.int32()), ("line", pa.string())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,12 +79,12 @@ def _kept_lines(keyed: DataFrame, least: int, equal_from: int) -> DataFrame:
         for batch in batches:
             for part in pieces(batch, "text"):
                 rows = []
-                for d, k, text, asked_ in zip(part.column("_line_d").to_pylist(), part.column("_line_k").to_pylist(), texts(part, "text"), part.column("_line_asked").to_pylist(), strict=True):
+                for d, k, text, numbers in zip(part.column(d_).to_pylist(), part.column(k_).to_pylist(), texts(part, "text"), part.column(asked_).to_pylist(), strict=True):
                     own = text.split(b"\n")
-                    rows += [(d, k, n, own[n].decode()) for n in set(asked_)]
+                    rows += [(d, k, n, own[n].decode()) for n in set(numbers)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    own = keyed.join(asked, ["_line_d", "_line_k"]).mapInArrow(cut, "d long, k long, n int, line string")
+    own = keyed.join(asked, [d_, k_]).mapInArrow(cut, "d long, k long, n int, line string")
 
     def vary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_memory()
@@ -120,25 +124,26 @@ def drop_repeated_lines(docs: DataFrame, least: int = LEAST_CHARACTERS, equal_fr
     characters, one inserted, deleted or substituted character away. What is earlier is judged on the input. Shorter
     lines, documents without a doc_id and texts that are null or
     empty stay as they are, but a document that loses lines and has only blanks left goes. Rows that repeat a
-    doc_id are told apart by their texts; equal ones share their fate. Other columns pass through.
+    doc_id are told apart by their texts; equal ones share their fate. Other columns pass through, whatever their
+    names. Lines of any length are compared as a whole; an empty table gives an empty one.
     """
     names = docs.columns
     place = names.index("text")
-    keys = {"_line_d": F.coalesce(F.col("`doc_id`"), F.lit(NO_ID)), "_line_k": F.crc32(F.coalesce(F.col("`text`"), F.lit("")).cast("binary"))}
-    keyed = docs.select("*", *[c.alias(n) for n, c in keys.items()])
-    kept = _kept_lines(keyed, least, equal_from)
-    stay = kept.groupBy(F.col("d").alias("_line_d"), F.col("k").alias("_line_k")).agg(F.collect_set("n").alias("_line_stay"))
-    joined = keyed.join(stay, ["_line_d", "_line_k"], "left").select(*[F.col(f"`{c}`") for c in names], (F.col("_line_d") > NO_ID).alias("_line_known"), "_line_stay")
+    d_, k_, known_, stay_ = fresh(docs, "_line_d", "_line_k", "_line_known", "_line_stay")
+    keyed = docs.select("*", F.coalesce(F.col("`doc_id`"), F.lit(NO_ID)).alias(d_), text_key(F.col("`text`")).alias(k_))
+    kept = _kept_lines(keyed, (d_, k_), least, equal_from)
+    stay = kept.groupBy(F.col("d").alias(d_), F.col("k").alias(k_)).agg(F.collect_set("n").alias(stay_))
+    joined = keyed.join(stay, [d_, k_], "left").select(*[F.col(f"`{c}`") for c in names], (F.col(d_) > NO_ID).alias(known_), stay_)
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_memory()
         for batch in batches:
             for part in pieces(batch, "text"):
                 new, rows = [], []
-                known, stays = (part.column(c).to_pylist() for c in ("_line_known", "_line_stay"))
-                for row, (text, k, stay_) in enumerate(zip(part.column(place).to_pylist(), known, stays, strict=True)):
-                    own, stay_ = (text or "").split("\n"), set(stay_ or ())
-                    left = [x for n, x in enumerate(own) if not k or n in stay_ or len(x) < equal_from]
+                known, stays = (part.column(c).to_pylist() for c in (known_, stay_))
+                for row, (text, k, own_stay) in enumerate(zip(part.column(place).to_pylist(), known, stays, strict=True)):
+                    own, here = (text or "").split("\n"), set(own_stay or ())
+                    left = [x for n, x in enumerate(own) if not k or n in here or len(x) < equal_from]
                     if len(left) < len(own):
                         text = "\n".join(left)
                         if not text.strip(" "):
