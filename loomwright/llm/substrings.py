@@ -16,7 +16,6 @@ one key, and documents need not be streamed past every reference:
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import WordHashes, columns_of, grams, hashed_words, materialize, pieces, texts, worker_memory
+from loomwright.llm.common import WordHashes, columns_of, grams, hashed_words, join_counted, materialize, pieces, release, text_key, texts, worker_memory
 
 WINDOW, ANCHOR = 50, 10
 #: Regions of one anchor that one automaton holds, and regions of all anchors that one shard holds on average.
@@ -91,7 +90,7 @@ def _regions(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                 ids = hashed_words([w for words in split for w in words], hashes)
                 doc, h, r, lo, size = anchor_regions(ids, ends - [len(w) for w in split], ends, window, anchor)
                 d = part.column("d").to_numpy(zero_copy_only=False)
-                k = np.array([zlib.crc32(t) for t in raw], np.int64)
+                k = part.column("k").to_numpy(zero_copy_only=False)
                 columns = (h.view(np.int64), r.view(np.int64), size.astype(np.int32), d[doc], k[doc], lo.astype(np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
 
@@ -167,8 +166,9 @@ def earlier_windows(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     all_ = materialize(_regions(keyed.where(f"d > {-(1 << 63)}").select("d", "k", "text"), window, anchor), "regions")
     several = all_.groupBy("h").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("h")
     here = materialize(all_.join(several, "h"), "shared")
-    distinct = here.groupBy("h", "r", "n").agg(F.min(F.struct("d", "k", "at")).alias("first"))
-    distinct = materialize(distinct.select("h", "r", "n", "first.*"), "distinct")
+    distinct = here.groupBy("h", "r", "n").agg(F.min(F.struct("d", "k", "at")).alias("first"), F.count("*").alias("copies"))
+    distinct = materialize(distinct.select("h", "r", "n", "copies", "first.*"), "distinct")
+    release(all_)
     sizes = distinct.groupBy("h").agg(F.count("*").alias("size"))
     rest = materialize(distinct.join(sizes.where("size > 1"), "h").withColumn("parts", F.ceil(F.col("size") / SHARD_REGIONS).cast("int")), "rest")
     shards = max(1, rest.count() // GROUP_REGIONS)
@@ -212,9 +212,10 @@ def earlier_windows(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
 
     matched = dealt.select("h", "r", "n", "d", "words", "to.*").groupBy("shard").applyInArrow(stream, "h long, r long, n int, least array<long>")
     lone = distinct.join(sizes.where("size = 1"), "h").select("h", "r", "n", F.array_repeat("d", F.col("n")).alias("least"))
+    # Only what an earlier document holds is asked for: the smallest document's own copy never is.
+    least = materialize(matched.unionByName(lone), "least").join(distinct.select("h", "r", "n", "copies"), ["h", "r", "n"])
     flags = (
-        here.select("h", "r", "n", "d", "k", "at")
-        .join(matched.unionByName(lone), ["h", "r", "n"])
+        join_counted(here.select("h", "r", "n", "d", "k", "at"), least, ["h", "r", "n"], here.count(), "copies")
         .where(F.array_min("least") < F.col("d"))
         .select("d", "k", F.struct("at", F.transform("least", lambda x: x < F.col("d")).alias("flags")).alias("x"))
     )
@@ -229,7 +230,7 @@ def remove_repeated_passages(docs: DataFrame, window: int = WINDOW, anchor: int
     read; an empty table gives an empty one.
     """
     keyed = columns_of(docs, "doc_id", "text").select(
-        "doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("k"), "text"
+        "doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), text_key(F.col("text")).alias("k"), "text"
     )
     found = earlier_windows(keyed, window, anchor)
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
