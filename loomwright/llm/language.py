@@ -12,21 +12,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import columns_of, mix, pieces, texts, worker_memory
+from loomwright.llm.common import columns_of, fresh, mix, pieces, texts, worker_memory
 
 #: About so many labelled documents of a language are learned from, picked by a hash of their ids.
 SAMPLE_DOCUMENTS = 2000
-#: Most n-grams that a language's filter holds, and the share of the n-gram's highest rate that a language needs.
-KEPT_GRAMS, LEAST_SHARE = 8000, 0.1
-ORDERS, CELLS, PROBES = (2, 3, 4), 1 << 18, 3
+#: A language holds an n-gram if it is at least so frequent in it as in the language where it is most frequent.
+LEAST_SHARE = 0.1
+ORDERS, CELLS, PROBES = (2, 3, 4), 1 << 20, 3
 UNKNOWN = "und"
 #: Bytes of text that n-grams are made of at once: they take about 200 times the memory.
 GRAM_BYTES = 256 << 10
 #: A document is rejected where its language knows less of its n-grams than this.
 LEAST_COVERAGE = 0.2
+#: Languages that the filters have room for: 8 MB for every 64.
+MOST_LANGUAGES = 512
 
 
 def _letters() -> np.ndarray:
@@ -110,25 +112,28 @@ def learn_filters(labelled: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> Langua
     counted = chosen.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rates = counted.join(F.broadcast(counted.groupBy("lang").agg(F.sum("n").alias("total"))), "lang").withColumn("rate", F.col("n") / F.col("total"))
     held = rates.join(rates.groupBy("gram").agg(F.max("rate").alias("top")), "gram").where(F.col("rate") >= LEAST_SHARE * F.col("top"))
-    best = held.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("place") <= KEPT_GRAMS)
-    rows = best.select("lang", "gram").toPandas()  # at most KEPT_GRAMS a language
-    languages = sorted(rows["lang"].unique().tolist())
+    languages = sorted(r["lang"] for r in held.select("lang").distinct().collect())
+    if len(languages) > MOST_LANGUAGES:
+        raise ValueError(f"{len(languages)} languages; the filters are broadcast and hold {MOST_LANGUAGES} at most")
+    bit = F.create_map(*[F.lit(x) for pair in zip(languages, range(len(languages)), strict=True) for x in pair]) if languages else F.lit(None)
+    low, step = F.col("gram").bitwiseAND(CELLS - 1), F.shiftrightunsigned("gram", 32).bitwiseOR(F.lit(1)).bitwiseAND(CELLS - 1)
+    probes = F.array(*[(low + i * step).bitwiseAND(CELLS - 1) for i in range(PROBES)])
     cells = np.zeros((-(-len(languages) // 64), CELLS), np.uint64)
-    for i, lang in enumerate(languages):
-        grams = rows["gram"][rows["lang"] == lang].to_numpy().view(np.uint64)
-        for at in _probes(grams):
-            cells[i // 64][at] |= np.uint64(1 << (i % 64))
+    if languages:
+        set_ = held.select(bit[F.col("lang")].alias("bit"), F.explode(probes).alias("cell")).groupBy("cell", F.expr("bit div 64").alias("k"))
+        rows = set_.agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")).toPandas()  # at most CELLS for 64 languages
+        cells[rows["k"].to_numpy(), rows["cell"].to_numpy()] = rows["bits"].to_numpy().astype(np.int64).view(np.uint64)
     return LanguageFilters(languages, cells)
 
 
-def identify(docs: DataFrame, filters: LanguageFilters) -> DataFrame:
+def identify(docs: DataFrame, filters: LanguageFilters, results: tuple[str, str, str] = ("lang_pred", "score", "coverage")) -> DataFrame:
     """``docs`` with lang_pred, score (0 to 1: the winner's share of all languages' hits) and coverage.
 
     coverage is the share of the text's n-grams that the predicted language holds. A text that is null or has no
     letter gives ``und``, 0 and 0; ties go to the language that sorts first. Only ``text`` decides; other columns
-    pass through, but for ones named like the three results, which are replaced.
+    pass through, but for ones named like the three results, which are replaced (``results`` gives others names).
+    Repeated rows, and rows without an id, are judged each on its own; an empty table gives an empty one.
     """
-    results = ("lang_pred", "score", "coverage")
     docs = docs.drop(*results)
     names = docs.columns
     model = docs.sparkSession.sparkContext.broadcast((filters.languages, filters.cells, filters.false_rates()))
@@ -152,7 +157,7 @@ def identify(docs: DataFrame, filters: LanguageFilters) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, *results])
 
     ddl = ", ".join(f"`{c}` {k}" for c, k in docs.dtypes)
-    return docs.mapInArrow(predict, f"{ddl}, lang_pred string, score double, coverage double")
+    return docs.mapInArrow(predict, f"{ddl}, `{results[0]}` string, `{results[1]}` double, `{results[2]}` double")
 
 
 def held_out() -> F.Column:
@@ -161,6 +166,10 @@ def held_out() -> F.Column:
 
 
 def accepted(docs: DataFrame, filters: LanguageFilters, least: float = LEAST_COVERAGE) -> DataFrame:
-    """``docs`` without those that are in no known language."""
-    said = identify(docs, filters)
-    return said.where((F.col("lang_pred") != UNKNOWN) & (F.col("coverage") >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` without those that are in no known language: null and empty texts go, as those without letters.
+
+    All columns pass through, whatever their names.
+    """
+    lang, score, coverage = fresh(docs, "lang_pred", "score", "coverage")
+    said = identify(docs, filters, (lang, score, coverage))
+    return said.where((F.col(lang) != UNKNOWN) & (F.col(coverage) >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
