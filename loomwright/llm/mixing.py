@@ -14,13 +14,15 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import columns_of, materialize
+from loomwright.llm.common import columns_of, fresh, materialize
 
 #: Domains, with the shares of all tokens that they shall have.
 TARGETS = {"good": 0.84, "plain": 0.14, "toxic": 0.02}
 #: Labelled documents that the classifier is learned from, at most about; hashed words; words' worth of evidence.
 SAMPLE_DOCUMENTS, BUCKETS, EVIDENCE = 20_000, 1 << 14, 200.0
-STEPS, TOLERANCE = 30, 1e-4
+#: Relative errors at which the targets are met; the share by which the squares have to shrink over so many steps,
+#: else they are the least there are; and the steps after which it is an error that neither came about.
+TOLERANCE, PROGRESS, WATCHED, STEPS = 1e-4, 0.01, 8, 200
 
 
 def domain_of(labels: DataFrame) -> DataFrame:
@@ -64,7 +66,11 @@ def memberships(docs: DataFrame, table: DataFrame, priors: list[float]) -> DataF
 
 
 def fit_rates(members: DataFrame, targets: dict[str, float], downsample: tuple[str, ...] = ("toxic",), steps: int = STEPS) -> DataFrame:
-    """``members`` with rate. The total is such that only domains in ``downsample`` need to lose tokens."""
+    """``members`` with rate. The total is such that only domains in ``downsample`` need to lose tokens.
+
+    Steps end where all targets are met or, as no rates may meet them, where the sum of squares no longer shrinks;
+    after ``steps`` steps without either this raises an error.
+    """
     k = len(targets)
     p = [F.col(f"p{i}") for i in range(k)]
     sums = lambda rate: [v or 0.0 for v in members.agg(*[F.sum(rate * F.col("tokens") * p[i]) for i in range(k)]).first()]
@@ -72,11 +78,17 @@ def fit_rates(members: DataFrame, targets: dict[str, float], downsample: tuple[s
     total = max([h / t for (d, t), h in zip(targets.items(), has, strict=True) if d not in downsample and t > 0], default=sum(has))
     goal = [t * total for t in targets.values()]
     past: list[list[float]] = []
-    for _ in range(steps):
+    squares: list[float] = []
+    for _ in range(steps + 1):
         off = [(now - want) / max(h, 1.0) for now, want, h in zip(sums(_replayed(p, past)), goal, has, strict=True)]
+        squares.append(sum(h * x * x for h, x in zip(has, off, strict=True)))
         if max(map(abs, off)) < TOLERANCE:
             break
+        if len(squares) > WATCHED and squares[-1] > (1 - PROGRESS) * squares[-1 - WATCHED]:
+            break
         past.append(off)
+    else:
+        raise RuntimeError(f"no rates found in {steps} steps: relative errors {off}")
     return members.withColumn("rate", _replayed(p, past))
 
 
@@ -103,10 +115,15 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] |
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """The rows of ``docs``, each as often as its rate says: its whole part, and once more by a hash of the id."""
+    """The rows of ``docs``, each as often as its rate says: its whole part, and once more by a hash of the id.
+
+    Null and empty texts, missing and repeated ids are rated as ``mixing_rates`` says; equal rows have equal rates.
+    Other columns pass through, whatever their names. An empty table gives an empty one.
+    """
     rated = mixing_rates(docs, labels, targets).groupBy("doc_id", "text_hash").agg(F.max("rate").alias("rate"))  # equal rows have equal rates
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("mix")), F.lit(1_000_000)) / 1_000_000
-    times = rated.select(F.col("doc_id").alias("_mix_id"), F.col("text_hash").alias("_mix_hash"), F.floor(F.col("rate") + draw).cast("int").alias("_mix_times")).where("_mix_times > 0")
-    same = F.col("`doc_id`").eqNullSafe(F.col("_mix_id")) & (F.xxhash64(F.col("`text`")) == F.col("_mix_hash"))
-    repeated = docs.join(times, same).withColumn("_mix_nth", F.explode(F.sequence(F.lit(1), F.col("_mix_times"))))
+    id_, hash_, times_, nth = fresh(docs, "_mix_id", "_mix_hash", "_mix_times", "_mix_nth")
+    times = rated.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), F.floor(F.col("rate") + draw).cast("int").alias(times_)).where(F.col(times_) > 0)
+    same = F.col("`doc_id`").eqNullSafe(F.col(id_)) & (F.xxhash64(F.col("`text`")) == F.col(hash_))
+    repeated = docs.join(times, same).withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(times_))))
     return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
