@@ -63,19 +63,20 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower))
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+def numbered(docs: DataFrame) -> DataFrame:
+    """row, doc_id, text, written once: numbers dealt again need not agree where rows come from a shuffle."""
+    return materialize(columns_of(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "numbered")
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """row, doc_id, kind, start, end, value, context of each valid match; also one row without a kind a document.
+    """row, doc_id, kind, start, end, value, context of each valid match in ``numbered`` rows; also one row without a kind a document.
 
     A context that a neighbouring match cuts short is told apart by the whole text. Offsets count code points, ends are exclusive. ``row`` tells rows apart that repeat a doc_id or have none.
     """
     text = F.col("text")
     hints = {"email": text.contains("@"), "phone": text.contains("+")}
     found = docs.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("whole"),
+        "row", "doc_id", F.xxhash64("text").alias("whole"),
         F.filter(
             F.array(
                 F.struct(F.lit(None).cast("string").alias("kind"), F.when(F.lit(False), _pieces(text, CARD)).alias("found")),
@@ -114,7 +115,7 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, threshold: float = DISCLO
     held = materialize(held.where(F.size("seen") > 0).select("row", long_first.alias("values"), "seen"), "held")
 
     bare = F.aggregate("values", F.col("text"), lambda text, value: F.replace(text, value, F.lit(" ")))
-    met = _numbered(docs).where(F.col("text").rlike(HINT)).join(held, "row").select("row", "seen", F.explode(_words(bare)).alias("term"))
+    met = docs.where(F.col("text").rlike(HINT)).join(held, "row").select("row", "seen", F.explode(_words(bare)).alias("term"))
     met = met.select("row", "term", F.explode("seen").alias("s")).select("row", "term", "s.e", F.explode("s.contexts").alias("context"))
     pairs = met.groupBy("term", "e").agg(F.countDistinct("row").alias("n_both"), F.countDistinct("context").alias("n_contexts")).where(F.least("n_contexts", "n_both") >= support)
     terms = docs.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
@@ -128,12 +129,12 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, threshold: float = DISCLO
     scored = materialize(scored.groupBy("term").agg(F.max("disclosure").alias("disclosure")), "terms")
 
     surface = F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
-    marked = _numbered(docs).select("row", F.explode(surface).alias("word")).withColumn("term", F.lower("word")).join(scored, "term")
+    marked = docs.select("row", F.explode(surface).alias("word")).withColumn("term", F.lower("word")).join(scored, "term")
     marked = materialize(marked.select("row", "word", "disclosure"), "marked")
     # Only marked words are cut out, by a pattern of each row's own.
     either = marked.groupBy("row").agg(F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(F.collect_list("word"), "|"), F.lit(r")(?!\p{L})")).alias("either"))
     found, between = F.regexp_extract_all("text", F.col("either"), F.lit(0)), F.split("text", F.col("either"), -1)
-    own = _numbered(docs).join(either, "row").select("row", "doc_id", F.posexplode(F.arrays_zip(found.alias("w"), F.transform(between, F.length).alias("gap"))).alias("i", "x"))
+    own = docs.join(either, "row").select("row", "doc_id", F.posexplode(F.arrays_zip(found.alias("w"), F.transform(between, F.length).alias("gap"))).alias("i", "x"))
     own = own.where("x.w is not null").select("row", "doc_id", "i", F.col("x.w").alias("word"), F.length("x.w").alias("size"), "x.gap")
     own = own.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("row").orderBy("i")))
     return own.join(marked, ["row", "word"]).select("row", "doc_id", (F.col("end") - F.col("size")).alias("start"), "end", "disclosure")
@@ -145,7 +146,11 @@ def find_private(docs: DataFrame, threshold: float = DISCLOSURE, support: int =
     A null text counts as empty. Rows that repeat a doc_id or have none are judged each on its own. Base spans
     stay as the patterns find them, kind by kind; a term inside one is dropped. An empty table gives an empty one.
     """
-    docs = columns_of(docs, "doc_id", "text")
+    return spans_of(numbered(docs), threshold, support)
+
+
+def spans_of(docs: DataFrame, threshold: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+    """As ``find_private``, for the rows of ``numbered``."""
     base = materialize(base_spans(docs), "spans")
     order = F.coalesce(*[F.when(F.col("kind") == k, i) for i, k in enumerate(KINDS)], F.lit(len(KINDS)))
     span = lambda kind, disclosure: F.when(kind.isNotNull(), F.struct("start", order.alias("order"), kind.alias("kind"), "end", disclosure.alias("disclosure")))
@@ -163,13 +168,16 @@ def span_text(spans: Column) -> Column:
 
 
 def sanitised(docs: DataFrame, threshold: float = DISCLOSURE, removal: float = REMOVAL) -> DataFrame:
-    """doc_id and text with identifiers replaced by their kinds, disclosing terms generalised or removed."""
-    docs = columns_of(docs, "doc_id", "text")
-    found = find_private(docs, threshold).select("row", F.col("spans").alias("s"))
+    """doc_id and text with identifiers replaced by their kinds, disclosing terms generalised or removed.
+
+    Rows are treated as by ``find_private``; a null text stays null.
+    """
+    docs = numbered(docs)
+    found = spans_of(docs, threshold).select("row", F.col("spans").alias("s"))
     text, s = F.coalesce("text", F.lit("")), F.col("s")
     # A span that starts inside an earlier one (of another kind) only extends it.
     reach = lambda i: F.coalesce(F.array_max(F.transform(F.slice(s, F.lit(1), i), lambda x: x["end"])), F.lit(0).cast("long"))
     put = lambda x: F.when(x["kind"] != TERM, F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))).when(x["disclosure"] < removal, F.lit("[TERM]")).otherwise(F.lit(""))
     piece = lambda x, i: F.when(x["start"] >= reach(i), F.concat(F.substring(text, (reach(i) + 1).cast("int"), (x["start"] - reach(i)).cast("int")), put(x))).otherwise(F.lit(""))
     body = F.concat(F.array_join(F.transform(s, piece), ""), F.substring(text, (reach(F.size(s)) + 1).cast("int"), F.length(text)))
-    return docs.withColumn("row", F.monotonically_increasing_id()).join(found, "row", "left").select("doc_id", F.when(F.size(s) > 0, body).otherwise(F.col("text")).alias("text"))
+    return docs.join(found, "row", "left").select("doc_id", F.when(F.size(s) > 0, body).otherwise(F.col("text")).alias("text"))
