@@ -22,7 +22,7 @@ from loomwright.llm.common import columns_of, materialize
 
 K, SCALE = 20, 64
 #: Rows of a shard, queries of a block (both on average), and points of a leaf.
-SHARD_ROWS, BLOCK_QUERIES, LEAF_ROWS = 4096, 1024, 128
+SHARD_ROWS, BLOCK_QUERIES, LEAF_ROWS = 4096, 4096, 128
 
 
 class KDTree:
@@ -45,7 +45,7 @@ class KDTree:
 
     def bound(self, node: int, query: np.ndarray) -> float:
         """The highest score that a point of the node's box could have."""
-        return float(np.maximum(query * self.low[node], query * self.high[node]).sum())
+        return np.maximum(query * self.low[node], query * self.high[node]).sum()
 
     def top(self, query: np.ndarray, own: int, k: int, least: float) -> list[tuple[float, int]]:
         """(score, id) of the k best but ``own``, best first, ties to smaller ids; only scores of ``least`` or more."""
@@ -63,7 +63,7 @@ class KDTree:
                 continue
             scores = self.points[a:b] @ query
             for i in np.nonzero(scores >= least)[0]:
-                entry = (float(scores[i]), -int(self.ids[a + i]))
+                entry = (int(scores[i]), -int(self.ids[a + i]))
                 if -entry[1] == own:
                     continue
                 if len(best) < k:
@@ -91,10 +91,12 @@ def _search(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
         if left.num_rows and right.num_rows:
-            tree = KDTree(matrix(left.column("v"), left.num_rows), left.column("vec_id").to_numpy())
-            asked = matrix(right.column("v"), right.num_rows)
+            points, asked = (matrix(t.column("v"), t.num_rows) for t in (left, right))
+            if np.abs(points).max() * np.abs(asked).max() * points.shape[1] >= 2.0**53:  # doubles would round the scores
+                points, asked = (np.array(t.column("v").to_pylist(), object) for t in (left, right))
+            tree = KDTree(points, left.column("vec_id").to_numpy())
             for query, id_, least in zip(asked, right.column("query_id").to_pylist(), right.column("least").to_pylist(), strict=True):
-                rows += [(id_, found, int(score)) for score, found in tree.top(query, id_, k, float("-inf") if least is None else float(least))]
+                rows += [(id_, found, int(score)) for score, found in tree.top(query, id_, k, float("-inf") if least is None else least)]
         return pa.table([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else ((), (), ()))], schema=schema)
 
     keys = ["width", "shard", "block"]
@@ -108,7 +110,7 @@ def exact_top_k(vectors: DataFrame, every: int = 20, k: int = K, scale: int = SC
     Components become floor(scale * x). Rows with a null id or a vector that is null, empty or holds null or
     non-finite components take no part; vectors are compared with ones of their own width. A query's own id is no
     candidate of its, also where rows repeat an id; repeated candidate rows each count. Fewer candidates than k
-    give all of them; an empty table an empty result.
+    give all of them; an empty table an empty result. Scores are integers of any size that a long holds.
     """
     whole = (
         columns_of(vectors, "vec_id", "embedding")
