@@ -290,3 +290,155 @@ def test_mixing_meets_targets(spark):
     shares = np.array([sum(r.rate * r.tokens * r[f"p_{k}"] for r in rated) for k in ("good", "plain", "toxic")])
     assert abs(shares[2] / shares.sum() - 0.1) < 0.02
     assert mixing.mixing_rates(docs(spark, []), labels).count() == 0
+
+
+def clashing(spark, rows=None):
+    """Columns named like those that operators make inside."""
+    plain = docs(spark, rows)
+    names = ["score", "coverage", "lang_pred", "_line_d", "_LINE_K", "_line_asked", "_line_stay", "_line_known", "_mix_id", "_mix_times", "row", "n", "g", "rep", "_salt", "_rank", "length", "size"]
+    return plain.select("*", *[F.concat(F.lit(f"{n} "), F.coalesce("lang", F.lit("?"))).alias(n) for n in names])
+
+
+def same_columns(before, after):
+    """Rows of ``after``, all columns but the texts as they were."""
+    kept = [c for c in before.columns if c not in ("text", "n_chars")]
+    had = Counter(tuple(r) for r in before.select(*[F.col(f"`{c}`") for c in kept]).collect())
+    got = Counter(tuple(r) for r in after.select(*[F.col(f"`{c}`") for c in kept]).collect())
+    assert after.columns == before.columns and set(got) <= set(had)
+    return got
+
+
+def test_other_columns_pass_through(spark):
+    df = clashing(spark)
+    model = language.learn_filters(df.withColumn("lang", F.coalesce("lang", F.lit("de"))))
+    assert same_columns(df, language.accepted(df, model))
+    assert same_columns(df, lines.drop_repeated_lines(df, equal_from=1))
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    assert same_columns(df, mixing.mixed(df, labels, {"good": 0.5, "plain": 0.5}))
+    for got in (jaccard.near_duplicate_components(df), packing.pack_documents(df, PATH), private.find_private(df), substrings.remove_repeated_passages(df)):
+        assert {r[0] for r in got.select("doc_id").distinct().collect()} == {r[0] for r in df.select("doc_id").distinct().collect()}
+
+
+def test_repeated_ids_and_rows(spark):
+    rows = [(1, "a@b.c and then some words of one text", "en", "x", 0)] * 2 + [(1, "other words stand here, nothing private", "en", "x", 0), (2, "a@b.c and then some words of one text", "en", "x", 0)]
+    df = docs(spark, rows)
+    found = private.find_private(df).select("doc_id", F.size("spans").alias("n")).collect()
+    assert Counter((r.doc_id, r.n) for r in found) == {(1, 1): 2, (1, 0): 1, (2, 1): 1}
+    parts = {(r.doc_id, r.component_id) for r in jaccard.near_duplicate_components(df).collect()}
+    assert parts == {(1, 1), (2, 1)}
+    assert Counter(r.doc_id for r in packing.pack_documents(df, PATH).collect()) == {1: 3, 2: 1}
+    model = language.learn_filters(df)
+    assert language.identify(df, model).count() == 4 and language.identify(docs(spark, []), model).count() == 0
+    vecs = [(5, [1.0, 0.0], 1)] * 2 + [(5, [0.0, 1.0], 1), (7, [1.0, 0.01], 1), (20, [2.0**40, 3.0**30], 1), (40, [2.0**41 + 64, 3.0**31], 1)]
+    table = spark.createDataFrame(vecs, "vec_id long, embedding array<double>, label int")
+    near = Counter((r.vec_id, r.n_links, r.component_id) for r in near_vectors.near_duplicate_vectors(table.where("vec_id < 20")).collect())
+    assert near == {(5, 2, 5): 2, (5, 1, 5): 1, (7, 2, 5): 1}
+    fine = [(i, [int(np.floor(64 * x)) for x in v]) for i, v, _ in vecs]
+    want = sorted((-sum(a * b for a, b in zip(u, v, strict=True)), j) for i, u in fine if i == 40 for j, v in fine if j != 40)
+    small = [(s, j) for s, j in want if abs(s) < 1 << 63]
+    got = [(-r.score, r.vec_id) for r in nearest.exact_top_k(table.where("vec_id <> 20 or vec_id = 40")).where("query_id = 40").orderBy("rank").collect()]
+    assert [x for x in got if x in small] == [x for x in small if x[1] != 20]
+
+
+def test_repeated_turns_and_no_conversations(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    turns = [(1, 0, "user", "hi"), (1, 0, "user", "hi"), (2, 0, "user", "hi")]
+    assert {r.conv_id: r.n_turns for r in chat.format_conversations(spark.createDataFrame(turns, schema)).collect()} == {1: 2}
+    assert chat.format_conversations(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_lines_against_edit_distance(spark):
+    r = random.Random(4)
+    words = ["alpha", "beta", "gamma", "delta"]
+    def line():
+        return " ".join(r.choice(words) for _ in range(r.randint(1, 5)))
+    pool = [line() for _ in range(30)]
+    def edit(x):
+        i = r.randrange(len(x) + 1)
+        return r.choice([x[:i] + "q" + x[i:], x[:i] + x[i + 1 :], x[:i] + "\u00e9" + x[i + 1 :], x])
+    rows = [(i, "\n".join(edit(r.choice(pool)) for _ in range(r.randint(1, 6))), "en", "x", 0) for i in range(60)] + [(70, "z" * 30_000, "en", "x", 0), (71, "z" * 30_001, "en", "x", 0)]
+
+    def within_one(a, b):
+        if a == b:
+            return True
+        if len(a) > len(b):
+            a, b = b, a
+        if len(b) - len(a) > 1 or len(b) < lines.LEAST_CHARACTERS:
+            return False
+        i = next((k for k in range(len(a)) if a[k] != b[k]), len(a))
+        return a[i:] == b[i + 1 :] or (len(a) == len(b) and a[i + 1 :] == b[i + 1 :])
+
+    all_ = [(i, n, x) for i, t, *_ in rows for n, x in enumerate(t.split("\n"))]
+    want = {}
+    for i, t, *_ in rows:
+        left = [x for n, x in enumerate(t.split("\n")) if not x or not any((j, m) < (i, n) and within_one(y, x) for j, m, y in all_)]
+        if "\n".join(left).strip(" "):
+            want[i] = "\n".join(left)
+    got = {r_.doc_id: r_.text for r_ in lines.drop_repeated_lines(docs(spark, rows), equal_from=1).collect()}
+    assert got == want
+
+
+def test_disclosure_by_brute_force(spark):
+    r = random.Random(8)
+    mails = [f"p{i}@x.org" for i in range(6)]
+    names = ["arnulf", "berta", "clodwig", "dietlind", "egon", "frieda"]
+    filler = [f"word{chr(97 + i)}" for i in range(12)]
+    rows = []
+    for i in range(120):
+        k = r.randrange(6)
+        both = [names[k], mails[k]] if r.random() < 0.4 else []
+        body = r.sample(filler, 5) + both + ([r.choice(names)] if r.random() < 0.05 else [])
+        r.shuffle(body)
+        rows.append((i, " ".join(body), "en", "x", 0))
+    texts = {i: t for i, t, *_ in rows}
+    holds = {e: {i for i, t in texts.items() if e in t.split()} for e in mails}
+    words = {w: {i for i, t in texts.items() if w in re.findall("[^\\W\\d_]+", t.lower())} for w in {*names, *filler}}
+    disclosing = {
+        w
+        for w, own in words.items()
+        for e, held in holds.items()
+        if len(own & held) >= 2 and np.log2(len(own & held) * len(rows) / (len(own) * len(held))) / np.log2(len(rows) / len(held)) >= private.DISCLOSURE
+    }
+    want = {i: sorted(m.span() for w in disclosing for m in re.finditer(rf"(?<![^\W\d_]){w}(?![^\W\d_])", t)) for i, t in texts.items()}
+    got = {r_.doc_id: sorted((s.start, s.end) for s in r_.spans if s.kind == private.TERM) for r_ in private.find_private(docs(spark, rows)).collect()}
+    assert disclosing and got == want
+
+
+def test_language_counts_against_sets(spark):
+    letters = language._letters()
+    say = {"aa": "the cat and the dog were here", "bb": "der hund und die katze waren hier"}
+    rows = [(i, f"{say[x]} {'xyz' * (i % 4)}", x, "x", 0) for i, x in enumerate(list(say) * 20)]
+    model = language.learn_filters(docs(spark, rows))
+    totals, seen = Counter(), defaultdict(Counter)
+    for _, t, x, *_ in rows:
+        for h in language.gram_hashes([t], letters)[0].tolist():
+            seen[h][x] += 1
+            totals[x] += 1
+    held = {x: set() for x in say}
+    for h, n in seen.items():
+        rate = {x: n[x] / totals[x] for x in n}
+        for x, v in rate.items():
+            if v >= language.LEAST_SHARE * max(rate.values()):
+                held[x].add(h)
+    text = "the katze here und other qqq words"
+    hashes, owners, _ = language.gram_hashes([text], letters)
+    counts = model.counts(hashes, owners, 1)[0]
+    exact = [sum(h in held[x] for h in hashes.tolist()) for x in model.languages]
+    assert (counts >= exact).all() and np.abs(counts - exact).max() <= 1 + 3 * len(hashes) * model.false_rates().max()
+
+
+def test_rates_against_a_small_solver(spark):
+    r = np.random.default_rng(3)
+    p = r.dirichlet([0.6, 0.6, 0.3], 200)
+    tokens = r.integers(1, 400, 200)
+    members = spark.createDataFrame([(i, int(t), *map(float, x)) for i, (t, x) in enumerate(zip(tokens, p, strict=True))], "doc_id long, tokens long, p0 double, p1 double, p2 double")
+    targets = {"good": 0.5, "plain": 0.45, "toxic": 0.05}
+    got = np.array([x.rate for x in mixing.fit_rates(members, targets).orderBy("doc_id").collect()])
+    has = (tokens[:, None] * p).sum(axis=0)
+    goal = np.array(list(targets.values())) * max(has[0] / 0.5, has[1] / 0.45)
+    rate = np.ones(200)
+    for _ in range(5000):
+        rate = np.maximum(0, rate - p @ (((rate * tokens) @ p - goal) / has))
+    assert (got >= 0).all() and np.allclose((got * tokens) @ p, goal, rtol=2e-3) and np.allclose((rate * tokens) @ p, goal, rtol=2e-3)
+    impossible = mixing.fit_rates(members.withColumn("p1", F.lit(0.0)), {"good": 0.4, "plain": 0.5, "toxic": 0.1}).agg(F.min("rate")).first()[0]
+    assert impossible >= 0
