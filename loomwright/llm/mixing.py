@@ -69,7 +69,7 @@ def fit_rates(members: DataFrame, targets: dict[str, float], downsample: tuple[s
     """``members`` with rate. The total is such that only domains in ``downsample`` need to lose tokens.
 
     Steps end where all targets are met or, as no rates may meet them, where the sum of squares no longer shrinks;
-    after ``steps`` steps without either this raises an error.
+    after ``steps`` steps without either this raises an error. A domain without tokens can't be given any.
     """
     k = len(targets)
     p = [F.col(f"p{i}") for i in range(k)]
@@ -80,11 +80,11 @@ def fit_rates(members: DataFrame, targets: dict[str, float], downsample: tuple[s
     past: list[list[float]] = []
     squares: list[float] = []
     for _ in range(steps + 1):
-        off = [(now - want) / max(h, 1.0) for now, want, h in zip(sums(_replayed(p, past)), goal, has, strict=True)]
+        off = [(now - want) / h if h else 0.0 for now, want, h in zip(sums(_replayed(p, past)), goal, has, strict=True)]
         squares.append(sum(h * x * x for h, x in zip(has, off, strict=True)))
         if max(map(abs, off)) < TOLERANCE:
             break
-        if len(squares) > WATCHED and squares[-1] > (1 - PROGRESS) * squares[-1 - WATCHED]:
+        if len(squares) > WATCHED and squares[-1] >= (1 - PROGRESS) * squares[-1 - WATCHED]:
             break
         past.append(off)
     else:
