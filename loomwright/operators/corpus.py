@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from functools import reduce
 
 import numpy as np
@@ -102,30 +103,115 @@ def repetition_class(score: Column) -> Column:
 
 
 def repetition(df: DataFrame, id_: str, tokens: str) -> DataFrame:
-    """id, repetition_score, repetition_class: the weighted share of n-grams that a row repeats."""
-    counts = exploded_ngrams(df, id_, tokens, tuple(ORDERS)).groupBy(id_, "n", "gram").agg(F.count("*").alias("c"))
-    cover = counts.groupBy(id_, "n").agg((F.sum(F.when(F.col("c") >= LEAST_REPEATS, F.col("c")).otherwise(0)) / F.sum("c")).alias("coverage"))
-    weight = reduce(lambda c, x: c.when(F.col("n") == x[0], x[1]), list(ORDERS.items())[1:], F.when(F.col("n") == 2, ORDERS[2]))
-    scored = cover.groupBy(id_).agg((F.sum(weight * F.col("coverage")) / sum(ORDERS.values())).alias("s"))
-    score = F.coalesce("s", F.lit(0.0))
-    return df.select(id_).join(scored, id_, "left").select(id_, score.alias("repetition_score"), repetition_class(score).alias("repetition_class"))
+    """id, repetition_score, repetition_class: the weighted share of n-grams that a row repeats.
+
+    Nothing leaves its row: tokens are numbered within it, runs of numbers are told apart exactly by numbering the
+    pairs of (run before, token), and counted, all in Arrow batches.
+    """
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column("t").fill_null([]) if batch.column("t").null_count else batch.column("t")
+            flat = own.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            sizes = own.value_lengths().to_numpy(zero_copy_only=False)
+            ends = np.cumsum(sizes)
+            out = [_row_score(flat[end - n : end]) for n, end in zip(sizes.tolist(), ends.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.float64())], names=["id", "s"])
+
+    scored = df.select(F.col(id_).alias("id"), F.col(tokens).alias("t")).mapInArrow(score, f"id {dict(df.dtypes)[id_]}, s double")
+    return scored.select(F.col("id").alias(id_), F.col("s").alias("repetition_score"), repetition_class(F.col("s")).alias("repetition_class"))
+
+
+def _row_score(ids: np.ndarray) -> float:
+    run, total = np.unique(ids, return_inverse=True)[1] if len(ids) else ids, 0.0
+    token, many = run, int(run.max(initial=0)) + 1
+    for n in range(2, max(ORDERS) + 1):
+        if len(run) < 2:
+            break
+        run, counts = np.unique(run[:-1] * many + token[n - 1 :], return_inverse=True, return_counts=True)[1:]
+        if n in ORDERS:
+            total += ORDERS[n] * counts[counts >= LEAST_REPEATS].sum() / len(run)
+    return float(total / sum(ORDERS.values()))
+
+
+def ngram_counts(df: DataFrame, tokens: str, orders: tuple[int, ...]) -> DataFrame:
+    """n, h, c: how often each n-gram occurs in all rows, by a hash of its tokens' hashes.
+
+    Keys of the shuffle are 8 bytes, counted per task first; ``spelled`` gives the texts of those that matter.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, h in _row_hashes(batch, orders):
+                keys, c = np.unique(h, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), n, np.int32)), pa.array(keys), pa.array(c)], names=["n", "h", "c"])
+
+    hashed = df.select(F.transform(tokens, lambda t: F.xxhash64(t)).alias("t")).mapInArrow(count, "n int, h long, c long")
+    return hashed.groupBy("n", "h").agg(F.sum("c").alias("c"))
+
+
+def _row_hashes(batch: pa.RecordBatch, orders: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray]]:
+    """(n, hashes of all n-grams), which never cross a row's end; as ``gram_hash`` makes them."""
+    column = batch.column("t")
+    ids = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(ids))  # tokens from here to the row's end
+    with np.errstate(over="ignore"):
+        h = np.zeros(len(ids), np.int64)
+        for n in range(1, max(orders) + 1):
+            h = h[: len(ids) - n + 1] * GRAM_BASE + ids[n - 1 :]
+            if n in orders:
+                yield n, h[left[: len(h)] >= n]
+
+
+#: An odd multiplier for the hashes of n-grams.
+GRAM_BASE = np.int64(0x2545F4914F6CDD1D)
+
+
+def spelled(df: DataFrame, tokens: str, wanted: DataFrame, orders: tuple[int, ...]) -> DataFrame:
+    """``wanted`` (n, h, ...; few rows, which are broadcast) with gram: the tokens of the n-gram, joined by a blank."""
+    keys = {(r["n"], r["h"]) for r in wanted.select("n", "h").collect()}
+    by_order = {n: np.array(sorted(h for m, h in keys if m == n), np.int64) for n in orders}
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = {n: set(h.tolist()) for n, h in by_order.items()}  # a task spells each once
+        for batch in batches:
+            words = batch.column("w").flatten()
+            sizes = batch.column("t").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            room = np.repeat(np.cumsum(sizes), sizes) - np.arange(sizes.sum())
+            out = []
+            for n, h in _row_hashes(batch, orders):
+                at = np.nonzero(room[: len(room) - n + 1] >= n)[0]
+                hit = np.nonzero(np.isin(h, by_order[n]))[0]
+                hit = hit[np.unique(h[hit], return_index=True)[1]]
+                for i in hit.tolist():
+                    if int(h[i]) in left[n]:
+                        left[n].discard(int(h[i]))
+                        out.append((n, int(h[i]), " ".join(words[int(at[i]) : int(at[i]) + n].to_pylist())))
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True) if out else ((), (), ()), (pa.int32(), pa.int64(), pa.string()), strict=True)], names=["n", "h", "gram"])
+
+    both = df.select(F.col(tokens).alias("w"), F.transform(tokens, lambda t: F.xxhash64(t)).alias("t"))
+    texts = both.mapInArrow(find, "n int, h long, gram string").groupBy("n", "h").agg(F.min("gram").alias("gram"))
+    return wanted.join(F.broadcast(texts), ["n", "h"])
 
 
 # --- selection
 
 
-def largest_remainder(weights: dict[str, int], total: int) -> dict[str, int]:
-    """Quotas in proportion to weights; ties by name. With enough rows, every class gets one from the largest."""
-    active = {k: w for k, w in weights.items() if w > 0}
+def largest_remainder(weights: dict[str, float], total: int) -> dict[str, int]:
+    """Quotas in proportion to weights; ties by name. With enough rows, every class gets one of the largest that can spare it."""
+    active = {k: Fraction(w) for k, w in weights.items() if w > 0}
     if not active:
         raise ValueError("no class has a positive weight")
     all_ = sum(active.values())
-    out = {k: total * w // all_ for k, w in active.items()}
-    for k in sorted(active, key=lambda k: (-(total * active[k] % all_), k))[: total - sum(out.values())]:
+    exact = {k: total * w / all_ for k, w in active.items()}
+    out = {k: int(x) for k, x in exact.items()}
+    for k in sorted(active, key=lambda k: (out[k] - exact[k], k))[: total - sum(out.values())]:
         out[k] += 1
     if total >= len(out):
         for k in sorted(k for k, v in out.items() if not v):
-            donor = max(sorted(out), key=out.__getitem__)
+            donors = [d for d in out if out[d] > 1]
+            donor = min(donors, key=lambda d: (-out[d], -active[d], d))
             out[donor], out[k] = out[donor] - 1, 1
     return out
 
@@ -148,6 +234,24 @@ def per_class(df: DataFrame, class_: str, n: int | Column, *order: Column) -> Da
     return df.withColumn("place", place).where(F.col("place") <= n)
 
 
+def rank_within(df: DataFrame, by: list[str], *order: Column) -> DataFrame:
+    """All rows with ``place``: their rank by ``order`` among the rows of equal ``by``, however many those are.
+
+    A distributed sort by group and order, ranks in each part, and how many rows of the group earlier parts hold.
+    """
+    names = [f"_order{i}" for i in range(len(order))]
+    keyed = df.select("*", *[o.alias(n) for n, o in zip(names, order, strict=True)])
+    dealt = keyed.repartitionByRange(*by, *names).withColumn("_part", F.spark_partition_id())
+    dealt = materialize(dealt, "ranks")
+    sizes = dealt.groupBy("_part", *by).agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*by).orderBy("_part") if by else Window.orderBy("_part")
+    before = sizes.select("_part", *by, (F.sum("_n").over(earlier) - F.col("_n")).alias("_before"))  # a row for each part and group in it
+    own = dealt.withColumn("_own", F.row_number().over(Window.partitionBy("_part", *by).orderBy(*names)))
+    same = [own["_part"] == before["_part"], *[own[b].eqNullSafe(before[b]) for b in by]]
+    ranked = own.join(before, reduce(lambda x, y: x & y, same))
+    return ranked.select(*[own[c] for c in df.columns], (F.col("_before") + F.col("_own")).alias("place"))
+
+
 def places(df: DataFrame, level: Column, *order: str) -> DataFrame:
     """All rows with their place by level and order: a distributed sort, places in each part, and the parts' offsets.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomwright.functions import text as T
 from loomwright.operators import corpus as C
+from loomwright.storage import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -20,6 +21,10 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
 
+    @property
+    def cores(self) -> int:
+        return self.spark.sparkContext.defaultParallelism
+
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
@@ -82,8 +87,24 @@ def id_disambiguation(t: Tables) -> DataFrame:
 
 @query(f"SELECT n, gram, count(*) AS c FROM ({GRAMS.format(tokens=TOKENS, orders='[1, 2, 3, 4]')}) GROUP BY 1, 2 ORDER BY c DESC, n, gram LIMIT 200")
 def ngram_topk(t: Tables) -> DataFrame:
-    grams = C.exploded_ngrams(t.documents.select("doc_id", T.tokens(c("text")).alias("t")), "doc_id", "t", (1, 2, 3, 4))
-    return grams.groupBy("n", "gram").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n", "gram").limit(200)
+    return _top_grams(_tokens(t), (1, 2, 3, 4), 200)
+
+
+def _tokens(t: Tables) -> DataFrame:
+    return C.settled(t.documents.select("doc_id", "text"), "t", T.tokens(c("text"))).select("doc_id", "t")
+
+
+def _top_grams(tokens: DataFrame, orders: tuple[int, ...], k: int) -> DataFrame:
+    """The k most frequent n-grams; those that tie with the last one are spelled too, as texts decide ties."""
+    counts = materialize(C.ngram_counts(tokens, "t", orders), "grams")
+    last = counts.orderBy(F.desc("c")).limit(k).agg(F.min("c")).first()[0] or 0
+    above = counts.where(c("c") > last)
+    need = k - above.count()
+    # Of the last count only the lowest orders can be among the first k.
+    ties = counts.where(c("c") == last).groupBy("n").agg(F.count("*").alias("m")).orderBy("n").collect()
+    orders_needed = [r["n"] for i, r in enumerate(ties) if sum(x["m"] for x in ties[:i]) < need]
+    wanted = above.unionByName(counts.where((c("c") == last) & c("n").isin(orders_needed)))
+    return C.spelled(tokens, "t", wanted, orders).select("n", "gram", "c").orderBy(F.desc("c"), "n", "gram").limit(k)
 
 
 @query(f"SELECT n, gram, c, place FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY c DESC, gram) AS place FROM (SELECT n, gram, count(*) AS c FROM ({GRAMS.format(tokens=TOKENS, orders='[1, 2, 3]')}) GROUP BY 1, 2)) WHERE place <= 50")
@@ -95,7 +116,7 @@ def ngram_topk_per_order(t: Tables) -> DataFrame:
 
 @query(f"SELECT doc_id, round(s, 9) AS repetition_score, CASE WHEN s < .25 THEN 'low' WHEN s < .45 THEN 'medium' WHEN s < .65 THEN 'high' WHEN s < .85 THEN 'very_high' ELSE 'critical' END AS repetition_class FROM (SELECT d.doc_id, coalesce(s, 0.0) AS s FROM documents d LEFT JOIN (SELECT doc_id, CAST(sum(CASE n WHEN 2 THEN .35 WHEN 3 THEN .30 ELSE .20 END * v) / 1.05 AS DOUBLE) AS s FROM (SELECT doc_id, n, sum(CASE WHEN k >= 3 THEN k ELSE 0 END)::DOUBLE / sum(k) AS v FROM (SELECT doc_id, n, gram, count(*) AS k FROM ({GRAMS.format(tokens=TOKENS, orders='[2, 3, 4, 6]')}) GROUP BY 1, 2, 3) GROUP BY 1, 2) GROUP BY 1) x USING (doc_id))")
 def repetition_class(t: Tables) -> DataFrame:
-    scored = C.repetition(t.documents.select("doc_id", T.tokens(c("text")).alias("t")), "doc_id", "t")
+    scored = C.repetition(t.documents.select("doc_id", T.tokens(c("text")).alias("t")).repartition(t.cores), "doc_id", "t")
     return scored.withColumn("repetition_score", F.round("repetition_score", 9))
 
 
