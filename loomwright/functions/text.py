@@ -10,17 +10,34 @@ TOKEN_PATTERN = r"\\[A-Za-z@]+|NUM|[A-Za-z_][A-Za-z0-9_]*|--|->|<-|<->|\S"
 NUMBER_PATTERN = r"(?<![A-Za-z])[-+]?(?:\d+\.\d*|\.\d+|\d+)(?:[eE][-+]?\d+)?"
 
 
+#: Lines of a TeX log that tell an error, or a bad box.
+LOG_ERROR, LOG_BOX = r"^\s*!|\.tex:\d+:", r"^\s*(?:Over|Under)full \\"
+
+
 def strip_space(c: Column) -> Column:
     """Both ends, all ASCII white space (``trim`` takes off blanks only)."""
     return F.regexp_replace(c, r"\A\s+|\s+\z", "")
 
 
+#: White space that ends are stripped of, line ends but for the line feed, and code fences.
+SPACE = r"\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+LINE_END = r"\n\x0b\x0c\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}"
+FENCE_START, FENCE_END = r"(?i)\A```(?:latex|tex|tikz)?\s*", r"\s*```\z"
+
+
+def strip_all(c: Column) -> Column:
+    """Both ends, all Unicode white space."""
+    return F.regexp_replace(c, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
+
+
 def normalize_code(c: Column) -> Column:
-    """Line feeds only, no enclosing code fence, no blanks at line ends; null becomes ''."""
+    """Line feeds only, no enclosing code fence, no white space at line ends; null becomes ''."""
     c = F.regexp_replace(F.coalesce(c, F.lit("")), r"\r\n?", "\n")
-    c = F.regexp_replace(strip_space(c), r"(?i)\A```(?:latex|tex|tikz)?\s*", "")
-    c = F.regexp_replace(c, r"\s*```\z", "")
-    return strip_space(F.regexp_replace(c, r"(?m)[ \t]+$", ""))
+    c = F.regexp_replace(strip_all(c), FENCE_START, "")
+    c = F.regexp_replace(c, FENCE_END, "")
+    # Other line ends are line ends too, and white space before any of them goes with them, but not the line feeds.
+    c = F.regexp_replace(c, r"[\x0b\x0c\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]", "\n")
+    return strip_all(F.regexp_replace(c, r"[\t\x1f \x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]+(?=\n|\z)", ""))
 
 
 def code_hash(code: Column) -> Column:
@@ -93,9 +110,13 @@ def suppress_page_numbers(c: Column) -> Column:
 
 
 def log_counts(log: Column) -> dict[str, Column]:
-    """Errors, warnings and bad boxes of a TeX log, by line."""
-    count = lambda pattern: F.size(F.filter(lines(log), lambda x: x.rlike(pattern))).cast("long")
-    return {"errors": count(r"^!|^[^\s:]+:\d+: "), "warnings": count("(?i)warning"), "badboxes": count(r"^(?:Over|Under)full ")}
+    """Errors, warnings and bad boxes of a TeX log, by line; the notes of one package on reruns are no warnings."""
+    count = lambda test: F.size(F.filter(lines(F.coalesce(log, F.lit(""))), test)).cast("long")
+    return {
+        "errors": count(lambda x: x.rlike(LOG_ERROR)),
+        "warnings": count(lambda x: F.contains(x, F.lit("Warning:")) & ~x.rlike(r"^\s*Package rerunfilecheck Warning:")),
+        "badboxes": count(lambda x: x.rlike(LOG_BOX)),
+    }
 
 
 def uniform(seed: int, *keys: Column) -> Column:

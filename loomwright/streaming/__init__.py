@@ -1,0 +1 @@
+"""Incremental work with Structured Streaming."""
