@@ -71,18 +71,18 @@ def reject_reasons(t: Tables) -> DataFrame:
     return t.orders.groupBy(F.coalesce(reason, F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT CASE WHEN n = 0 THEN 'empty_code' WHEN n > 300 THEN 'too_long' ELSE 'kept' END AS reason, count(*) AS rows_, CAST(max(least(n, 301)) AS BIGINT) AS maximum_seen FROM (SELECT len({TOKENS}) AS n FROM documents) GROUP BY 1")
+@query(f"SELECT CASE WHEN n = 0 THEN 'empty_code' WHEN n > 4096 THEN 'too_long' ELSE 'kept' END AS reason, count(*) AS rows_, CAST(max(least(n, 4097)) AS BIGINT) AS maximum_seen FROM (SELECT len({TOKENS}) AS n FROM documents) GROUP BY 1")
 def token_filter(t: Tables) -> DataFrame:
     n = F.size(T.tokens(c("text"))).alias("n")
-    reason = F.coalesce(C.reject_reason([("empty_code", c("n") == 0), ("too_long", c("n") > 300)]), F.lit("kept"))
-    return t.documents.select(n).groupBy(reason.alias("reason")).agg(F.count("*").alias("rows_"), F.max(F.least("n", F.lit(301))).cast("long").alias("maximum_seen"))
+    reason = F.coalesce(C.reject_reason([("empty_code", c("n") == 0), ("too_long", c("n") > 4096)]), F.lit("kept"))
+    return t.documents.select(n).groupBy(reason.alias("reason")).agg(F.count("*").alias("rows_"), F.max(F.least("n", F.lit(4097))).cast("long").alias("maximum_seen"))
 
 
 @query("SELECT doc_id, CASE WHEN k = 1 THEN 's:' || source ELSE 's:' || source || ':' || k || ':' || substr(sha256(text), 1, 8) END AS sample_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents)")
 def id_disambiguation(t: Tables) -> DataFrame:
-    k = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
     id_ = F.concat(F.lit("s:"), c("source"))
-    return t.documents.withColumn("k", k).select("doc_id", F.when(c("k") == 1, id_).otherwise(F.concat_ws(":", id_, c("k"), F.substring(F.sha2("text", 256), 1, 8))).alias("sample_id"))
+    ranked = C.rank_within(t.documents.select("doc_id", "source", F.substring(F.sha2("text", 256), 1, 8).alias("hash8")), ["source"], c("doc_id")).withColumnRenamed("place", "k")
+    return ranked.select("doc_id", F.when(c("k") == 1, id_).otherwise(F.concat_ws(":", id_, c("k"), c("hash8"))).alias("sample_id"))
 
 
 @query(f"SELECT n, gram, count(*) AS c FROM ({GRAMS.format(tokens=TOKENS, orders='[1, 2, 3, 4]')}) GROUP BY 1, 2 ORDER BY c DESC, n, gram LIMIT 200")
@@ -211,15 +211,8 @@ def split_cascade(t: Tables) -> DataFrame:
     return validation.withColumn("split", F.lit("validation")).union(train.withColumn("split", F.lit("train"))).union(rest.withColumn("split", F.lit("metric")))
 
 
-@query("SELECT o_orderkey, o_orderpriority, row_number() OVER (ORDER BY CASE o_orderpriority WHEN '5-LOW' THEN 0 WHEN '2-HIGH' THEN 1 WHEN '1-URGENT' THEN 2 ELSE 3 END, o_orderkey) AS place FROM orders ORDER BY place LIMIT 500")
-def curriculum_sort(t: Tables) -> DataFrame:
-    level = F.when(c("o_orderpriority") == "5-LOW", 0).when(c("o_orderpriority") == "2-HIGH", 1).when(c("o_orderpriority") == "1-URGENT", 2).otherwise(3)
-    first = t.orders.orderBy(level, "o_orderkey").limit(500).withColumn("level", level)  # of 500 rows the window's place is cheap
-    return first.withColumn("place", F.row_number().over(Window.orderBy("level", "o_orderkey"))).select("o_orderkey", "o_orderpriority", "place")
-
-
 @query("SELECT o_orderkey, o_orderpriority, row_number() OVER (ORDER BY CASE o_orderpriority WHEN '5-LOW' THEN 0 WHEN '2-HIGH' THEN 1 WHEN '1-URGENT' THEN 2 ELSE 3 END, o_orderkey) AS place FROM orders")
-def curriculum_sort_whole(t: Tables) -> DataFrame:
+def curriculum_sort(t: Tables) -> DataFrame:
     level = F.when(c("o_orderpriority") == "5-LOW", 0).when(c("o_orderpriority") == "2-HIGH", 1).when(c("o_orderpriority") == "1-URGENT", 2).otherwise(3)
     return C.places(t.orders, level, "o_orderkey").select("o_orderkey", "o_orderpriority", "place")
 
@@ -288,14 +281,8 @@ def html_blocks(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("(?s)<p>(.*?)</p>"), F.lit(1))).alias("i", "block"))
 
 
-@query(r"SELECT doc_id, coalesce(nullif(regexp_extract('```tex' || chr(10) || substr(text, 1, 40) || '```', '(?is)```(?:latex|tex|tikz)?\s*(.*?)```', 1), ''), '') AS code FROM (SELECT doc_id, replace(replace(text, chr(10), '_'), ' ', '_') AS text FROM documents)")
+@query(r"SELECT doc_id, CASE WHEN regexp_extract(text, '(?is)```(?:latex|tex|tikz)?\s*(.*?)```', 1) <> '' THEN regexp_replace(regexp_extract(text, '(?is)```(?:latex|tex|tikz)?\s*(.*?)```', 1), '^\s+|\s+$', '', 'g') WHEN regexp_extract(text, '(?is)\\documentclass.*?\\end\{document\}', 0) <> '' THEN regexp_extract(text, '(?is)\\documentclass.*?\\end\{document\}', 0) ELSE regexp_extract(text, '(?is)\\begin\{tikzpicture\}.*?\\end\{tikzpicture\}', 0) END AS code FROM documents")
 def fence_extract(t: Tables) -> DataFrame:
-    flat = F.regexp_replace("text", "[\n ]", "_")
-    return t.documents.select("doc_id", T.fenced_block(F.concat(F.lit("```tex\n"), F.substring(flat, 1, 40), F.lit("```"))).alias("code"))
-
-
-@query("")
-def fence_extract_whole(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", T.fenced_block(c("text")).alias("code"))
 
 
@@ -337,14 +324,14 @@ def json_fields(t: Tables) -> DataFrame:
 
 @query("SELECT doc_id, source || '_' || lpad(CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS VARCHAR), 8, '0') AS name FROM documents")
 def running_numbers(t: Tables) -> DataFrame:
-    k = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return t.documents.select("doc_id", F.concat(c("source"), F.lit("_"), F.lpad(k.cast("string"), 8, "0")).alias("name"))
+    ranked = C.rank_within(t.documents.select("doc_id", "source"), ["source"], c("doc_id"))
+    return ranked.select("doc_id", F.concat(c("source"), F.lit("_"), F.lpad(c("place").cast("string"), 8, "0")).alias("name"))
 
 
 @query("SELECT doc_id, k, CAST((k - 1) // 4 + 1 AS BIGINT) AS step, CAST((k - 1) % 4 + 1 AS BIGINT) AS slot FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents)")
 def step_slots(t: Tables) -> DataFrame:
-    k = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return t.documents.select("doc_id", k.cast("long").alias("k")).select("doc_id", "k", F.expr("(k - 1) div 4 + 1").alias("step"), F.expr("(k - 1) % 4 + 1").alias("slot"))
+    ranked = C.rank_within(t.documents.select("doc_id", "source"), ["source"], c("doc_id"))
+    return ranked.select("doc_id", c("place").cast("long").alias("k")).select("doc_id", "k", F.expr("(k - 1) div 4 + 1").alias("step"), F.expr("(k - 1) % 4 + 1").alias("slot"))
 
 
 @query(f"SELECT doc_id, 1 - count(DISTINCT gram)::DOUBLE / count(*) AS repeats FROM ({GRAMS.format(tokens=TOKENS, orders='[16]')}) GROUP BY 1")
@@ -370,13 +357,6 @@ def pooled_vectors(t: Tables) -> DataFrame:
     return t.embeddings.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(total), 6).alias("mean_sum"))
 
 
-@query("SELECT a.doc_id, CAST(levenshtein(regexp_replace(substr(a.text, 1, 40), '[^ -~]', '?', 'g'), regexp_replace(substr(b.text, 1, 40), '[^ -~]', '?', 'g')) AS INTEGER) AS distance FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1")
-def edit_distance(t: Tables) -> DataFrame:
-    start = F.regexp_replace(F.substring("text", 1, 40), "[^ -~]", "?")
-    other = t.documents.select((c("doc_id") - 1).alias("doc_id"), start.alias("other"))
-    return t.documents.join(other, "doc_id").select("doc_id", F.levenshtein(start, "other").alias("distance"))
-
-
 @query("")
 def token_edit_distance(t: Tables) -> DataFrame:
     tokens = T.tokens(T.strip_comments(F.coalesce("text", F.lit(""))))
@@ -391,8 +371,9 @@ def incremental_top_up(t: Tables) -> DataFrame:
 
 @query("SELECT doc_id, k <= n // 2 AS first_half FROM (SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5(concat_ws('|', '42', doc_id))) AS k, count(*) OVER (PARTITION BY lang) AS n FROM documents)")
 def exact_halves(t: Tables) -> DataFrame:
-    lang = Window.partitionBy("lang")
-    return t.documents.withColumn("k", F.row_number().over(lang.orderBy(T.shuffle_key(42, c("doc_id"))))).withColumn("n", F.count("*").over(lang)).select("doc_id", (c("k") <= F.expr("n div 2")).alias("first_half"))
+    ranked = C.rank_within(t.documents.select("doc_id", "lang"), ["lang"], T.shuffle_key(42, c("doc_id"))).withColumnRenamed("place", "k")
+    sizes = t.documents.groupBy("lang").agg(F.count("*").alias("n"))
+    return ranked.join(F.broadcast(sizes), ranked["lang"].eqNullSafe(sizes["lang"])).select("doc_id", (c("k") <= F.expr("n div 2")).alias("first_half"))
 
 
 @query("SELECT conv_id, count(*) AS turns, string_agg(role, ',' ORDER BY turn) AS roles, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY 1")
