@@ -21,8 +21,8 @@ TARGETS = {"good": 0.84, "plain": 0.14, "toxic": 0.02}
 #: Labelled documents that the classifier is learned from, at most about; hashed words; words' worth of evidence.
 SAMPLE_DOCUMENTS, BUCKETS, EVIDENCE = 20_000, 1 << 14, 200.0
 #: Relative errors at which the targets are met; the share by which the squares have to shrink over so many steps,
-#: else they are the least there are; and the steps after which it is an error that neither came about.
-TOLERANCE, PROGRESS, WATCHED, STEPS = 1e-4, 0.01, 8, 200
+#: else they are as good as the least there are; and the most steps. ``residual`` tells what error was left.
+TOLERANCE, PROGRESS, WATCHED, STEPS = 1e-4, 0.01, 8, 100
 
 
 def domain_of(labels: DataFrame) -> DataFrame:
@@ -66,10 +66,11 @@ def memberships(docs: DataFrame, table: DataFrame, priors: list[float]) -> DataF
 
 
 def fit_rates(members: DataFrame, targets: dict[str, float], downsample: tuple[str, ...] = ("toxic",), steps: int = STEPS) -> DataFrame:
-    """``members`` with rate. The total is such that only domains in ``downsample`` need to lose tokens.
+    """``members`` with rate, and residual: the largest relative error of a domain's tokens that is left. The total is such that only domains in ``downsample`` need to lose tokens.
 
-    Steps end where all targets are met or, as no rates may meet them, where the sum of squares no longer shrinks;
-    after ``steps`` steps without either this raises an error. A domain without tokens can't be given any.
+    Steps end where all targets are met or, as no rates may meet them, where the sum of squares hardly shrinks, or
+    after ``steps``; a residual above the tolerance says that they were not met. A domain without tokens can't be
+    given any and counts as met.
     """
     k = len(targets)
     p = [F.col(f"p{i}") for i in range(k)]
@@ -79,17 +80,15 @@ def fit_rates(members: DataFrame, targets: dict[str, float], downsample: tuple[s
     goal = [t * total for t in targets.values()]
     past: list[list[float]] = []
     squares: list[float] = []
-    for _ in range(steps + 1):
+    while True:
         off = [(now - want) / h if h else 0.0 for now, want, h in zip(sums(_replayed(p, past)), goal, has, strict=True)]
+        residual = max(map(abs, off))
         squares.append(sum(h * x * x for h, x in zip(has, off, strict=True)))
-        if max(map(abs, off)) < TOLERANCE:
-            break
-        if len(squares) > WATCHED and squares[-1] >= (1 - PROGRESS) * squares[-1 - WATCHED]:
+        stalled = len(squares) > WATCHED and squares[-1] >= (1 - PROGRESS) * squares[-1 - WATCHED]
+        if residual < TOLERANCE or stalled or len(past) == steps:
             break
         past.append(off)
-    else:
-        raise RuntimeError(f"no rates found in {steps} steps: relative errors {off}")
-    return members.withColumn("rate", _replayed(p, past))
+    return members.withColumn("rate", _replayed(p, past)).withColumn("residual", F.lit(residual))
 
 
 def _replayed(p: list[Column], past: list[list[float]]) -> Column:
@@ -102,7 +101,7 @@ def _replayed(p: list[Column], past: list[list[float]]) -> Column:
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """doc_id, text_hash, tokens, a posterior p_<domain> for each domain, and rate, for every row of ``docs``.
+    """doc_id, text_hash, tokens, a posterior p_<domain> for each domain, rate and residual, for every row of ``docs``.
 
     A null or blank text has no tokens and the prior as its memberships. Rows that repeat a doc_id or have none
     get rates of their own. Without usable labels all memberships are equal. An empty table gives an empty one.
@@ -111,7 +110,7 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] |
     table, priors = learn_domains(docs, labels, tuple(targets))
     members = materialize(memberships(docs, table, priors), "memberships")
     rated = fit_rates(members, targets)
-    return rated.select("doc_id", "text_hash", "tokens", *[F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(targets)], "rate")
+    return rated.select("doc_id", "text_hash", "tokens", *[F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(targets)], "rate", "residual")
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
