@@ -77,20 +77,20 @@ def test_token_edit_distance(spark):
     assert "token_edit_distance" in __spark_entry__.queries()
 
 
-def test_fence_extract_whole(spark, tmp_path):
+def test_fence_extract(spark, tmp_path):
     far, picture = "some words " * 30, "\\begin{tikzpicture}\n\\draw (0,0);\n\\end{tikzpicture}"
     whole = "\\documentclass{article}\n" + picture + "\n\\end{document}"
     rows = [(0, far + "```latex\na b\n  c\n``` after ```d```"), (1, far + whole + far), (2, far + picture + far), (3, far), (4, "``` ```" + far + picture), (5, None)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.code for r in __spark_entry__.queries()["fence_extract_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.code for r in __spark_entry__.queries()["fence_extract"](spark, str(tmp_path)).collect()}
     assert got == {0: "a b\n  c", 1: whole, 2: picture, 3: "", 4: picture, 5: None}
 
 
-def test_curriculum_sort_whole(spark, tmp_path):
+def test_curriculum_sort(spark, tmp_path):
     names = ["5-LOW", "2-HIGH", "1-URGENT", "3-MEDIUM", None]
     rows = [(i * 7919 % 3001, names[i % 5]) for i in range(3001)]
     spark.createDataFrame(rows, "o_orderkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
-    got = {r.o_orderkey: r.place for r in __spark_entry__.queries()["curriculum_sort_whole"](spark, str(tmp_path)).collect()}
+    got = {r.o_orderkey: r.place for r in __spark_entry__.queries()["curriculum_sort"](spark, str(tmp_path)).collect()}
     level = {"5-LOW": 0, "2-HIGH": 1, "1-URGENT": 2}
     assert got == {k: n + 1 for n, (k, _) in enumerate(sorted(rows, key=lambda r: (level.get(r[1], 3), r[0])))}
 
