@@ -164,11 +164,13 @@ def earlier_windows(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     ``keyed`` has d and k, which together stand for a row, and text.
     """
     all_ = materialize(_regions(keyed.where(f"d > {-(1 << 63)}").select("d", "k", "text"), window, anchor), "regions")
-    several = all_.groupBy("h").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("h")
-    here = materialize(all_.join(several, "h"), "shared")
+    several = all_.groupBy("h").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.count("*").alias("size"))
+    several = materialize(several.where("lo < hi").select("h", "size"), "several")
+    here = materialize(join_counted(all_, several, ["h"], all_.count()), "shared")
     distinct = here.groupBy("h", "r", "n").agg(F.min(F.struct("d", "k", "at")).alias("first"), F.count("*").alias("copies"))
     distinct = materialize(distinct.select("h", "r", "n", "copies", "first.*"), "distinct")
     release(all_)
+    release(several)
     sizes = distinct.groupBy("h").agg(F.count("*").alias("size"))
     rest = materialize(distinct.join(sizes.where("size > 1"), "h").withColumn("parts", F.ceil(F.col("size") / SHARD_REGIONS).cast("int")), "rest")
     shards = max(1, rest.count() // GROUP_REGIONS)
