@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import columns_of, fresh, materialize
+from loomwright.llm.common import columns_of, fresh, materialize, release
 
 #: Domains, with the shares of all tokens that they shall have.
 TARGETS = {"good": 0.84, "plain": 0.14, "toxic": 0.02}
@@ -23,6 +23,8 @@ SAMPLE_DOCUMENTS, BUCKETS, EVIDENCE = 20_000, 1 << 14, 200.0
 #: Relative errors at which the targets are met; the share by which the squares have to shrink over so many steps,
 #: else they are as good as the least there are; and the most steps. ``residual`` tells what error was left.
 TOLERANCE, PROGRESS, WATCHED, STEPS = 1e-4, 0.01, 8, 100
+#: Steps after which rates are written; a pass repeats no more than these.
+REPLAYED = 8
 
 
 def domain_of(labels: DataFrame) -> DataFrame:
@@ -74,30 +76,38 @@ def fit_rates(members: DataFrame, targets: dict[str, float], downsample: tuple[s
     """
     k = len(targets)
     p = [F.col(f"p{i}") for i in range(k)]
-    sums = lambda rate: [v or 0.0 for v in members.agg(*[F.sum(rate * F.col("tokens") * p[i]) for i in range(k)]).first()]
-    has = sums(F.lit(1.0))
+    sums = lambda rated, rate: [v or 0.0 for v in rated.agg(*[F.sum(rate * F.col("tokens") * p[i]) for i in range(k)]).first()]
+    at = members.withColumn("rate", F.lit(1.0))
+    has = sums(at, F.col("rate"))
     total = max([h / t for (d, t), h in zip(targets.items(), has, strict=True) if d not in downsample and t > 0], default=sum(has))
     goal = [t * total for t in targets.values()]
     past: list[list[float]] = []
+    taken = 0
     squares: list[float] = []
     while True:
-        off = [(now - want) / h if h else 0.0 for now, want, h in zip(sums(_replayed(p, past)), goal, has, strict=True)]
+        off = [(now - want) / h if h else 0.0 for now, want, h in zip(sums(at, _replayed(p, past)), goal, has, strict=True)]
         residual = max(map(abs, off))
         squares.append(sum(h * x * x for h, x in zip(has, off, strict=True)))
         stalled = len(squares) > WATCHED and squares[-1] >= (1 - PROGRESS) * squares[-1 - WATCHED]
-        if residual < TOLERANCE or stalled or len(past) == steps:
+        if residual < TOLERANCE or stalled or taken == steps:
             break
         past.append(off)
-    return members.withColumn("rate", _replayed(p, past)).withColumn("residual", F.lit(residual))
+        taken += 1
+        if len(past) == REPLAYED:
+            before, at = at, materialize(at.withColumn("rate", _replayed(p, past)), "rates")
+            past = []
+            if taken > REPLAYED:
+                release(before)
+    return at.withColumn("rate", _replayed(p, past)).withColumn("residual", F.lit(residual))
 
 
 def _replayed(p: list[Column], past: list[list[float]]) -> Column:
-    """The rate of a document after the steps whose relative errors ``past`` holds."""
+    """The rate of a document after more steps, whose relative errors ``past`` holds."""
     if not past:
-        return F.lit(1.0)
+        return F.col("rate")
     steps = F.array(*[F.array(*[F.lit(x) for x in off]) for off in past])
     inner = lambda off: sum((off[i] * p[i] for i in range(1, len(p))), off[0] * p[0])
-    return F.aggregate(steps, F.lit(1.0), lambda rate, off: F.greatest(F.lit(0.0), rate - inner(off)))
+    return F.aggregate(steps, F.col("rate"), lambda rate, off: F.greatest(F.lit(0.0), rate - inner(off)))
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
