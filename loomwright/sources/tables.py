@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwright.functions import text as T
@@ -64,13 +64,24 @@ def positioned(df: DataFrame) -> DataFrame:
     return df.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
+def numbered(placed: DataFrame) -> DataFrame:
+    """``placed`` (file, row) with offset: the row's place in the whole table, files being in the order of their paths.
+
+    The rows of a file are counted, so no task numbers more than the files.
+    """
+    sizes = placed.groupBy("file").agg(F.count("*").alias("_n"))
+    path = F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B")))  # a character that is escaped may sort elsewhere
+    before = sizes.select("file", (F.sum("_n").over(Window.orderBy(path)) - F.col("_n")).alias("_before"))  # a row a file
+    return placed.join(F.broadcast(before), "file").withColumn("offset", F.col("_before") + F.col("row")).drop("_before")
+
+
 def samples(df: DataFrame, class_: str, repetition: str, descriptions: list[str]) -> DataFrame:
     """file, row, class, repetition_class in lower case, and whether any of the descriptions has text."""
     require(df, [class_, repetition, *descriptions])
     described = F.lit(False)
     for d in descriptions:
         described = described | F.coalesce(T.has_text(F.col(d)), F.lit(False))
-    return positioned(df).select("file", "row", F.col(class_).cast("string").alias("class"), F.lower(repetition).alias("repetition_class"), described.alias("described"))
+    return positioned(df).select("file", "row", F.col(class_).cast("string").alias("class"), T.lowered(F.col(repetition)).alias("repetition_class"), described.alias("described"))
 
 
 def lookup(df: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:

@@ -5,10 +5,16 @@ import io
 import json
 import tarfile
 
+import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from loomwright import sinks
+from loomwright.plans import more
+from loomwright.plans.queries import ORACLE_SQL, Tables
 from loomwright.sources import files, tables
 from loomwright.streaming import incremental
 
@@ -156,3 +162,17 @@ def test_completed_groups(spark, tmp_path):
     query = incremental.completed_groups(stream, "q", "n", "v").writeStream.format("memory").queryName("done_groups").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted((r.q, r["values"]) for r in spark.table("done_groups").collect()) == [(1, ["a", "b"]), (2, ["x"])]
+
+
+def test_positioned_samples_count_on_from_file_to_file(spark, tmp_path):
+    folder = tmp_path / "documents.parquet"
+    texts = ["a", " ", "\u00a0", None, "\t", "b"]
+    rows = [(i, texts[i % 6], "en" if i % 2 else None, f"S{i}\u03a3") for i in range(14)]
+    for name, part in (("p 1.parquet", rows[:3]), ("p!1.parquet", rows[3:4]), ("p10.parquet", rows[4:9]), ("p2.parquet", rows[9:])):
+        table = pa.table({"doc_id": [r[0] for r in part], "text": pa.array([r[1] for r in part], pa.string()), "lang": pa.array([r[2] for r in part], pa.string()), "source": [r[3] for r in part]})
+        folder.mkdir(exist_ok=True)
+        pq.write_table(table, folder / name, row_group_size=2)
+    sql = ORACLE_SQL["positioned_samples"].replace("FROM documents", f"FROM read_parquet('{folder}/*.parquet')")
+    got = more.positioned_samples(Tables(spark, str(tmp_path))).collect()
+    assert sorted(map(str, got)) == sorted(str(Row(**dict(zip(got[0].asDict(), r, strict=True)))) for r in duckdb.sql(sql).fetchall())
+    assert [r.row for r in sorted(got, key=lambda r: r.row)] == list(range(14)) and sum(r.described for r in got) == 7
