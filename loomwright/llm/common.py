@@ -132,9 +132,10 @@ def join_counted(left: DataFrame, right: DataFrame, on: list[str], total: int, s
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component) of every node of ``edges(a, b)``: the smallest id that links reach.
 
-    Alternating large-star and small-star steps. Each step is a map-side combined minimum and a join back that
-    broadcasts the minima of hubs (see ``join_counted``), so a hub with millions of neighbours never meets in one
-    task. Every step is written to the shared folder.
+    Alternating large-star and small-star steps. Each is a map-side combined minimum and a join back, which keeps the
+    rows of hubs where they are (see ``join_counted``), so a hub with millions of neighbours never meets in one task.
+    Minima and steps are written to the shared folder one by one: as one plan, a round reads its edges some 96 times
+    over, and such plans, with a thread for each of their exchanges, fill the driver.
     """
     same = materialize(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
@@ -142,12 +143,11 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     n = same.count()
     for _ in range(rounds if n else 0):
         both = same.union(same.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = both.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("size")).select("u", F.least("u", "low").alias("low"), "size")
-        large = join_counted(both, near, ["u"], 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("size"))
+        large, near = _with_lows(both, 2 * n)
+        large = materialize(large.where("v > u").select(F.col("v").alias("u"), F.least("u", "low").alias("v")).where("u <> v").distinct(), "large")
+        small, lows = _with_lows(large, 2 * n)
         small = (
-            join_counted(large, low, ["u"], 2 * n)
-            .select(F.explode(F.array(F.struct("u", F.col("low").alias("v")), F.struct(F.col("v").alias("u"), F.col("low").alias("v")))).alias("e"))
+            small.select(F.explode(F.array(F.struct("u", F.col("low").alias("v")), F.struct(F.col("v").alias("u"), F.col("low").alias("v")))).alias("e"))
             .select("e.u", "e.v")
             .where("u <> v")
             .distinct()
@@ -155,7 +155,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         after = materialize(small, "edges")
         m = after.count()
         changed = m != n or not after.join(same, ["u", "v"], "left_anti").isEmpty()
-        release(same)
+        release(same, near, large, lows)
         same, n = after, m
         if not changed:
             break
@@ -165,3 +165,12 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return same.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
         same.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )
+
+
+def _with_lows(edges: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """``edges(u, v)`` with low, the smallest v of their u; and the written table of u, low, size."""
+    lows = materialize(edges.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("size")), "lows")
+    largest = lows.agg(F.max("size")).first()[0] or 0
+    if largest > max(HOT_ROWS, total // HOT_KEYS):
+        return join_counted(edges, lows, ["u"], total), lows
+    return edges.join(lows.drop("size"), "u"), lows

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loomwright.llm import chat, jaccard, language, lines, mixing, near_vectors, nearest, packing, private, queries, substrings
+from loomwright.llm import chat, common, jaccard, language, lines, mixing, near_vectors, nearest, packing, private, queries, substrings
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, lang string, d string, k int"
@@ -455,3 +455,20 @@ def test_written_rates_change_nothing(spark, monkeypatch):
     # Written rows are dealt anew, which changes the order of a sum.
     assert np.allclose(got[0], got[2], rtol=1e-9, atol=1e-12) and np.allclose(got[1], got[2], rtol=1e-9, atol=1e-12)
     assert np.ptp([rate for _, rate, _ in got[2]]) > 0.01
+
+
+def test_components_in_small_plans(spark, monkeypatch):
+    rng, reads = random.Random(3), []
+    write = common.materialize
+    monkeypatch.setattr(common, "materialize", lambda df, tag: reads.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")) or write(df, tag))
+    edges = [(0, i) for i in range(1, 700)] + [(i, i + 1) for i in range(1000, 1040)] + [(rng.randrange(2000, 2300), rng.randrange(2000, 2300)) for _ in range(200)] + [(5, 5), (9000, 699)]
+    low = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in low:
+        before = dict(low)
+        for a, b in edges:
+            if a != b:
+                low[a] = low[b] = min(low[a], low[b])
+        if before == low:
+            break
+    got = common.connected_components(spark.createDataFrame(edges, "a long, b long"))
+    assert sorted(map(tuple, got.collect())) == sorted(low.items()) and 0 < max(reads) <= 8
