@@ -10,6 +10,8 @@ those beyond a higher threshold. Only DataFrame functions are used.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +33,8 @@ CONTEXT = 120
 DISCLOSURE, REMOVAL = 0.8, 0.95
 #: Documents, and different contexts, in which a term and an entity have to be seen together.
 SUPPORT = 2
+#: Terms that are broadcast at once, about 100 bytes each; more take another pass over the texts.
+MOST_TERMS = 300_000
 
 
 def _valid(kind: Column, value: Column) -> Column:
@@ -128,16 +132,21 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, threshold: float = DISCLO
     )
     scored = materialize(scored.groupBy("term").agg(F.max("disclosure").alias("disclosure")), "terms")
 
-    surface = F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
-    marked = docs.select("row", F.explode(surface).alias("word")).withColumn("term", F.lower("word")).join(scored, "term")
-    marked = materialize(marked.select("row", "word", "disclosure"), "marked")
-    # Only marked words are cut out, by a pattern of each row's own.
-    either = marked.groupBy("row").agg(F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(F.collect_list("word"), "|"), F.lit(r")(?!\p{L})")).alias("either"))
-    found, between = F.regexp_extract_all("text", F.col("either"), F.lit(0)), F.split("text", F.col("either"), -1)
-    own = docs.join(either, "row").select("row", "doc_id", F.posexplode(F.arrays_zip(found.alias("w"), F.transform(between, F.length).alias("gap"))).alias("i", "x"))
-    own = own.where("x.w is not null").select("row", "doc_id", "i", F.col("x.w").alias("word"), F.length("x.w").alias("size"), "x.gap")
-    own = own.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("row").orderBy("i")))
-    return own.join(marked, ["row", "word"]).select("row", "doc_id", (F.col("end") - F.col("size")).alias("start"), "end", "disclosure")
+    # Texts stay where they are: terms are broadcast, in as many passes as they need, and a marked word is looked up in
+    # the text at hand. It stands first in its pattern, so that the search is for a literal; the letter beyond the basic
+    # plane makes the look-behind step by code points.
+    parts = max(1, -(-scored.count() // MOST_TERMS))
+    words = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("word")
+    alone = F.concat("word", F.lit("(?<![\\p{L}\U0001d49c]"), "word", F.lit(r")(?!\p{L})"))
+    before = F.transform(F.split("text", alone, -1), F.length)
+    passes = []
+    for k in range(parts):
+        part = F.broadcast(scored.where(F.pmod(F.xxhash64("term"), F.lit(parts)) == k))
+        marked = docs.select("row", "doc_id", "text", words).withColumn("term", F.lower("word")).join(part, "term")
+        passes.append(marked.select("row", "doc_id", "word", "disclosure", F.posexplode(F.slice(before, F.lit(1), F.size(before) - 1)).alias("i", "gap")))
+    size = F.length("word").cast("long")
+    own = reduce(DataFrame.unionByName, passes).withColumn("end", F.sum(F.col("gap") + size).over(Window.partitionBy("row", "word").orderBy("i")))
+    return own.select("row", "doc_id", (F.col("end") - size).alias("start"), "end", "disclosure")
 
 
 def find_private(docs: DataFrame, threshold: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
