@@ -84,18 +84,19 @@ def _kept_lines(keyed: DataFrame, at: tuple[str, str], least: int, equal_from: i
                     rows += [(d, k, n, own[n].decode()) for n in set(numbers)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    own = keyed.join(asked, [d_, k_]).mapInArrow(cut, "d long, k long, n int, line string")
+    held = keyed.join(asked, [d_, k_])
+    own = held.mapInArrow(cut, "d long, k long, n int, line string")
 
     def vary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_memory()
-        for batch in batches:
+        # Cuts by itself: a task with one Arrow function upon another holds two workers, and workers outlive stages.
+        for batch in cut(batches):
             for part in pieces(batch, "line", 1 << 19):
                 key, place, line = deletion_neighbourhood(part.column("line").to_pylist())
                 d, k, n = (part.column(c).to_numpy() for c in "dkn")
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, place.astype(np.int32), d[line], k[line], n[line])], names=["key", "i", "d", "k", "n"])
 
     o = F.struct("d", "k", "n")
-    variants = own.mapInArrow(vary, "key long, i int, d long, k long, n int").repartition("key")
+    variants = held.mapInArrow(vary, "key long, i int, d long, k long, n int").repartition("key")
     key, place = Window.partitionBy("key"), Window.partitionBy("key", "i")
     met = (
         variants.withColumn("shorter", F.min(F.when(F.col("i") < 0, o)).over(key))

@@ -180,6 +180,15 @@ def test_short_lines(spark):
     assert {r.doc_id for r in got} == {0, 2}
 
 
+def test_lines_put_no_arrow_function_upon_another(spark):
+    rows = [(0, "a first line of some length", "en", "x", 0), (1, "a first line of sme length\nanother", "en", "x", 0)]
+    plan = lines.drop_repeated_lines(docs(spark, rows))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    nodes = [re.sub(r"^[\s:+-]*", "", x).split()[0] for x in plan]
+    nodes = [x for x in nodes if x != "Project"]
+    assert nodes.count("MapInArrow") > 2
+    assert ("MapInArrow", "MapInArrow") not in itertools.pairwise(nodes)
+
+
 def vectors(spark):
     r = np.random.default_rng(5)
     base = r.normal(size=(120, 12))
